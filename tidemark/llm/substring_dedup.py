@@ -194,7 +194,7 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     block = (window + 1) // 2
     size = text_bytes(docs, text_column)
     parts = partitions(spark)
-    n_chunks = max(4 * parts, -(-size // CHUNK_BYTES))
+    n_chunks = max(2 * parts, -(-size // CHUNK_BYTES))
     buckets = min(1 << 20, max(parts, -(-size // CHUNK_BYTES)))
     rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
     rows = rows.withColumn("chunk", F.pmod(F.xxhash64("id", F.octet_length("text"), F.left("text", F.lit(64))), F.lit(n_chunks)))
