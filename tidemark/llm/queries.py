@@ -7,7 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontamination, exact_dedup, language_id, near_dedup, substring_dedup
+from tidemark.llm import decontamination, exact_dedup, language_id, near_dedup, packing, quality, substring_dedup, tokens
+
+
+#: The vocabulary that token counts and packing use unless another file is given.
+VOCABULARY = "byte_bpe_50k.json"
+
+
+def _vocabulary(name: str = VOCABULARY) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -19,6 +29,12 @@ def op2_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op3_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    found = quality.score(docs, quality.fit(docs, _table(spark, folder, "labels")))
+    return found.select("doc_id", language_id.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op5_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, folder, "documents"), shingle=2, percent=80)
 
@@ -31,6 +47,16 @@ def op7_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontamination.contained_items(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
 
 
+def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    found = tokens.count_tokens(_table(spark, folder, "documents"), _vocabulary())
+    return found.withColumn("over_limit", F.col("n_tokens") > 512)
+
+
+def op9_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    pieces = tokens.token_pieces(_table(spark, folder, "documents"), _vocabulary(), capacity=2048)
+    return packing.pack(pieces, capacity=2048).withColumnRenamed("id", "doc_id")
+
+
 def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents")
     found = language_id.identify(docs, language_id.fit(docs))
