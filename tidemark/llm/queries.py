@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontamination, exact_dedup, language_id, near_dedup, packing, quality, substring_dedup, tokens
+from tidemark.llm import decontamination, exact_dedup, html_text, language_id, license_scan, near_dedup, packing, quality, substring_dedup, tokens
 
 
 #: The vocabulary that token counts and packing use unless another file is given.
@@ -24,6 +24,11 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_license_scans(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    return license_scan.scan(docs, license_scan.fit(docs))
+
+
 def op2_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     out = substring_dedup.remove_repeats(_table(spark, folder, "documents"), window=35)
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -35,6 +40,10 @@ def op3_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", language_id.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op4_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return html_text.main_texts(_table(spark, folder, "pages"))
+
+
 def op5_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, folder, "documents"), shingle=2, percent=80)
 
