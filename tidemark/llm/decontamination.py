@@ -97,6 +97,20 @@ def _inside(table: np.ndarray, x: np.ndarray) -> np.ndarray:
     return table[np.minimum(np.searchsorted(table, x), len(table) - 1)] == x
 
 
+def _filter(index, at: int):
+    def run(batches):
+        own = index.value
+        for batch in batches:
+            clean_rows = np.ones(batch.num_rows, bool)
+            for i, _, data, offsets in B.text_slices(batch.column(at)):
+                words = B.Words(data, offsets, separators="plain", lower=True)
+                for w in own.by_width:
+                    clean_rows[[i + r for r, _, _ in own.search(words, w)]] = False
+            yield batch.filter(pa.array(clean_rows))
+
+    return run
+
+
 def _search(index):
     def run(batches):
         own = index.value
@@ -111,7 +125,24 @@ def _search(index):
     return run
 
 
-def contained_items(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", text_column: str = "text", item_id: str = "item_id", item_text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
+def indexes(items: DataFrame, item_id: str = "item_id", item_text: str = "text", shingle: int = 5, percent: int = 80) -> list:
+    """Broadcast indexes of the items, each of at most about BLOCK_SHINGLES shingles."""
+    spark = items.sparkSession
+    sets = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).alias("text"))
+    sets = sets.mapInArrow(_item_shingles(shingle), "item_id long, width int, shingles array<long>").where(F.size("shingles") > 0).persist()
+    total = sets.agg(F.sum(F.size("shingles"))).first()[0] or 0
+    n_blocks = -(-2 * total // BLOCK_SHINGLES)
+    out = []
+    for k in range(n_blocks):
+        block = sets.where(F.pmod(F.xxhash64("item_id", "shingles"), F.lit(n_blocks)) == k)
+        index = Index([(r["item_id"], r["width"], r["shingles"]) for r in block.collect()], percent)
+        if len(index.ids):
+            out.append(spark.sparkContext.broadcast(index))
+    sets.unpersist()
+    return out
+
+
+def contained_items(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
     """Rows (id, item_id, n_item_shingles, n_shared), one for each row of docs and item it holds.
 
     Words are runs of ASCII letters, digits and non-ASCII characters, A-Z lower-cased. A
@@ -121,25 +152,15 @@ def contained_items(docs: DataFrame, items: DataFrame, id_column: str = "doc_id"
     docs that repeat an id are each reported; a null id is carried; empty tables give no
     rows; other columns are ignored. Nothing is shuffled but the items.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
-    sets = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).alias("text"))
-    sets = sets.mapInArrow(_item_shingles(shingle), "item_id long, width int, shingles array<long>").where(F.size("shingles") > 0)
-    sets = sets.withColumn("n", F.size("shingles").cast("long")).persist()
-    total = sets.agg(F.sum("n")).first()[0] or 0
-    n_blocks = -(-2 * total // BLOCK_SHINGLES)
-    found = []
-    for k in range(n_blocks):
-        block = sets.where(F.pmod(F.xxhash64("item_id", "shingles"), F.lit(n_blocks)) == k)
-        index = Index([(r["item_id"], r["width"], r["shingles"]) for r in block.orderBy("item_id").toLocalIterator()], percent)
-        if len(index.ids):
-            found.append(rows.mapInArrow(_search(spark.sparkContext.broadcast(index)), FOUND))
-    sets.unpersist()
-    none = spark.createDataFrame([], FOUND)
+    found = [rows.mapInArrow(_search(index), FOUND) for index in indexes(items, **options)]
+    none = docs.sparkSession.createDataFrame([], FOUND)
     return functools.reduce(DataFrame.unionByName, found, none).withColumnRenamed("id", id_column)
 
 
-def clean(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
-    """The rows of docs that hold no item; all columns stay. A row without an id stays."""
-    dirty = contained_items(docs, items, id_column, text_column, **options).select(id_column).distinct()
-    return docs.join(dirty, id_column, "left_anti")
+def clean(docs: DataFrame, items: DataFrame, text_column: str = "text", **options) -> DataFrame:
+    """The rows of docs that hold no item, with all their columns and without a shuffle."""
+    at = docs.columns.index(text_column)
+    for index in indexes(items, **options):
+        docs = docs.mapInArrow(_filter(index, at), docs.schema)
+    return docs

@@ -88,3 +88,20 @@ def exact_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: st
         F.col("id").alias(id_column), F.col("stays.id").alias("keep_id"), "group_size",
         (F.col("row") == F.col("stays.row")).alias("kept"), "text_sha256", "n_chunks",
     )
+
+
+def one_of_each_text(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The rows of docs that exact_duplicates keeps, with all their columns.
+
+    Where ids repeat, a row is known by id and text, and equal rows are kept once.
+    """
+    found = cut(exact_duplicates(docs, id_column, text_column).select(F.col(id_column).alias("__id"), "kept", "text_sha256"))
+    kept = found.where("kept")
+    rows, ids = found.agg(F.count("*"), F.count_distinct(F.coalesce(F.col("__id").cast("string"), F.lit("")))).first()
+    if rows == ids:
+        return docs.join(kept.select("__id"), docs[id_column].eqNullSafe(F.col("__id")), "left_semi")
+    low = F.translate(F.coalesce(F.col(text_column), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    named = docs.withColumn("__sha", F.sha2(low, 256))
+    own = kept.select("__id", F.col("text_sha256").alias("__kept_sha"))
+    same = named[id_column].eqNullSafe(own["__id"]) & (named["__sha"] == own["__kept_sha"])
+    return named.join(own, same, "left_semi").dropDuplicates([id_column, "__sha"]).select(*docs.columns)

@@ -198,3 +198,10 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     out = sketch.select("id", "n", "high", "low").join(known, ["high", "low", "n"], "left")
     component = F.when(F.col("n") > 0, F.when(F.col("id").isNotNull(), F.col("component"))).otherwise(F.col("id"))
     return out.select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(False)).alias("kept"))
+
+
+def one_of_each_group(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
+    """The rows of docs but for those that link to a smaller id; rows without an id stay. All columns stay."""
+    found = near_duplicates(docs, id_column, text_column, **options)
+    gone = found.where(F.col("component_id") < F.col(id_column)).select(id_column).distinct()
+    return docs.join(gone, id_column, "left_anti").select(*docs.columns)
