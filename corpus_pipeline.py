@@ -1,13 +1,63 @@
-"""A corpus pipeline over ``documents`` in stages, each written as Parquet and read again."""
+"""A corpus pipeline over ``documents``: stages that filter, then pack.
+
+Each stage takes the rows that the one before it kept; all but the last return the
+columns of ``documents``. What a stage returns is written as Parquet to the shared folder
+that the session names and read again for the next one.
+"""
 
 from __future__ import annotations
 
+import uuid
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
-#: Learned stages and greedy packing have no SQL form.
+from tidemark.llm import decontamination, exact_dedup, language_id, near_dedup, packing, shared, tokens
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is told with confidence."""
+    return language_id.keep_identified(docs, language_id.fit(docs))
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each text."""
+    return exact_dedup.one_of_each_text(docs)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that shares four fifths of its five-word shingles."""
+    return near_dedup.one_of_each_group(docs, shingle=5, percent=80)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontamination.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), shingle=5, percent=80)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces and their places in sequences."""
+    pieces = tokens.token_pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), capacity=2048)
+    return packing.pack(pieces, capacity=2048).withColumnRenamed("id", "doc_id")
+
+
+STAGES = [
+    ("language_id", language),
+    ("exact_dedup", exact),
+    ("near_dedup", near),
+    ("decontamination", decontaminate),
+    ("packing", pack),
+]
+#: A learned stage and greedy packing have no SQL form; tests compare with a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """All stages over documents."""
+    folder = f"{shared.shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (name, stage) in enumerate(STAGES):
+        path = f"{folder}/{k}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs
