@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,4 +36,6 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _load() -> None:
-    pass
+    """The modules register their plans as they are imported."""
+    for name in ("browse", "relational", "analysis", "search", "archive", "ledgers", "streams"):
+        importlib.import_module(f"tidemark.plans.{name}")
