@@ -38,9 +38,12 @@ def has_phrase(tokens: Column, phrase: list[str]) -> Column:
 
 
 def ngrams(tokens: Column, n: int) -> Column:
-    """Adjacent n-grams, joined by a space."""
-    last = F.size(tokens) - n
-    return F.when(last >= 0, F.transform(F.sequence(F.lit(1), last + 1), lambda i: F.array_join(F.slice(tokens, i, n), " "))).otherwise(F.array().cast("array<string>"))
+    """Adjacent n-grams, joined by a space. Shifted slices are zipped, so tokens are not computed again for each place."""
+    size = F.greatest(F.size(tokens) - (n - 1), F.lit(0))
+    out = F.slice(tokens, F.lit(1), size)
+    for k in range(2, n + 1):
+        out = F.zip_with(out, F.slice(tokens, F.lit(k), size), lambda a, b: F.concat_ws(" ", a, b))
+    return out
 
 
 def shortened(text: Column | str, most: int) -> Column:
