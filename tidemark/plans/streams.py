@@ -1 +1,51 @@
-"""Plans."""
+"""Streaming queries, run over all events that are there."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tidemark.operators import history as H
+from tidemark.plans.registry import query
+from tidemark.streaming import events as S
+
+
+def _local(rows: DataFrame, column: str) -> DataFrame:
+    return rows.withColumn(column, F.col(column).cast("timestamp_ntz"))
+
+
+@query("SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def z05_tumbling_windows(spark, folder):
+    return _local(S.drained(S.windowed_counts(S.event_stream(spark, folder), "1 day"), "complete"), "start")
+
+
+@query("SELECT date_trunc('day', ts) - to_days(d::INT) AS start, event_type, count(*) AS n FROM events, range(7) t(d) GROUP BY 1, 2")
+def z07_sliding_windows(spark, folder):
+    return _local(S.drained(S.windowed_counts(S.event_stream(spark, folder), "7 days", "1 day"), "complete"), "start")
+
+
+@query("""SELECT user_id, min(ts) AS start, count(*) AS n FROM (SELECT *, sum(gap) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 4 HOUR THEN 0 ELSE 1 END AS gap FROM events)) GROUP BY user_id, s""")
+def z10_session_windows(spark, folder):
+    return _local(S.drained(S.sessions(S.event_stream(spark, folder), "4 hours"), "complete"), "start")
+
+
+@query("SELECT DISTINCT user_id, event_type FROM events")
+def z03_stream_dedup(spark, folder):
+    return S.drained(S.first_seen(S.event_stream(spark, folder), ["user_id", "event_type"], "60 days"), "append")
+
+
+@query("SELECT user_id, sum(round(value * 100)::BIGINT)::BIGINT AS cents, count(*) AS n FROM events GROUP BY 1")
+def z09_stream_balances(spark, folder):
+    def merge(before: DataFrame | None, batch: DataFrame) -> DataFrame:
+        return batch if before is None else H.latest(before.unionByName(batch), ["user_id"], "n")
+
+    return S.drained(S.balances(S.event_stream(spark, folder)), "update", merge)
+
+
+@query("SELECT user_id, max(ts) AS ts, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY 1")
+def z02_stream_upsert(spark, folder):
+    def merge(before: DataFrame | None, batch: DataFrame) -> DataFrame:
+        rows = H.latest(batch, ["user_id"], "ts", "event_id")
+        return rows if before is None else H.latest(before.unionByName(rows), ["user_id"], "ts", "event_id")
+
+    return _local(S.drained(S.event_stream(spark, folder).select("user_id", "ts", "event_id"), "append", merge), "ts")
