@@ -11,6 +11,7 @@ import functools
 import heapq
 import json
 import os
+import re
 import sys
 import unicodedata
 import zlib
@@ -22,10 +23,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Pieces that a worker remembers before it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 600_000
 #: Fixed value: the published pre-split pattern of this vocabulary family, with its letter, digit and other classes.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?{letter}+| ?{digit}+| ?{other}+|\s+(?!\S)|\s+"
-_KNOWN = regex.compile(SPLIT.format(letter=r"\p{L}", digit=r"\p{N}", other=r"[^\s\p{L}\p{N}]"))
+_ALL = regex.compile(SPLIT.format(letter=r"\p{L}", digit=r"\p{N}", other=r"[^\s\p{L}\p{N}]"))
+
+
+#: Below this character the standard module splits alike, in half the time, by classes spelled out.
+SIMPLE_END = 0x558
+
+
+def _class(kind: str) -> str:
+    found = "".join(c for c in map(chr, range(SIMPLE_END)) if unicodedata.category(c)[0] == kind)
+    return "".join(f"\\u{ord(c):04x}" for c in found)
+
+
+_WHITE = r"\t-\r \x85\xa0"
+_SIMPLE = re.compile(
+    SPLIT.replace(r"(?!\S)", f"(?![^{_WHITE}])").replace(r"\s", f"[{_WHITE}]")
+    .format(letter=f"[{_class('L')}]", digit=f"[{_class('N')}]", other=f"[^{_WHITE}{_class('L')}{_class('N')}]")
+)
 
 
 @functools.cache
@@ -45,10 +62,10 @@ def _exact() -> tuple[regex.Pattern, regex.Pattern]:
 
 def pieces(text: str) -> list[str]:
     """The text's pieces before any merge."""
-    if text.isascii() or max(text) < "՘":
-        return _KNOWN.findall(text)
+    if text.isascii() or max(text) < chr(SIMPLE_END):
+        return _SIMPLE.findall(text)
     new, exact = _exact()
-    return (exact if new.search(text) else _KNOWN).findall(text)
+    return (exact if new.search(text) else _ALL).findall(text)
 
 
 @functools.cache
