@@ -55,7 +55,7 @@ def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For sorted x with a flag in the lowest bit: distinct values without it, whether several, the flag of any."""
     value = x >> x.dtype.type(1)
     at = np.flatnonzero(np.diff(value, prepend=~value[:1]) != 0)
-    last = np.append(at[1:], len(x)) - 1
+    last = np.append(at[1:], len(x))[: len(at)] - 1
     return value[at], last > at, (x[last] & x.dtype.type(1)).astype(bool)
 
 
