@@ -123,14 +123,23 @@ class Machine:
 
     @staticmethod
     def _calibrate(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-        """Slope and offset of a logistic line through the scores, by Newton's method on smoothed labels."""
+        """Slope and offset of a logistic line through the scores, by Newton's method on smoothed labels, in steps that lower the loss."""
+        scale = max(1.0, float(np.abs(z).mean()))
         y = np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
-        x, w = np.stack([z, np.ones_like(z)], 1).astype(np.float64), np.array([1.0, 0.0])
+        x, w = np.stack([z / scale, np.ones_like(z)], 1).astype(np.float64), np.array([1.0, 0.0])
+
+        def loss(w):
+            t = x @ w
+            return (np.logaddexp(0, t) - y * t).sum() + 5e-4 * ((w - [1.0, 0.0]) ** 2).sum()
+
         for _ in range(25):
             p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
             h = x.T @ (x * (p * (1 - p))[:, None]) + 1e-3 * np.eye(2)
-            w = w - np.linalg.solve(h, x.T @ (p - y) + 1e-3 * (w - [1.0, 0.0]))
-        return float(max(w[0], 1e-3)), float(w[1])
+            step = np.linalg.solve(h, x.T @ (p - y) + 1e-3 * (w - [1.0, 0.0]))
+            while loss(w - step) > loss(w) and np.abs(step).max() > 1e-9:
+                step = step / 2
+            w = w - step
+        return float(max(w[0], 1e-3)) / scale, float(w[1])
 
     def scores(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         bucket, own, numbers = features(data, offsets)
