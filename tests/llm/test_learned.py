@@ -133,6 +133,16 @@ def test_repeated_stretches_go_where_the_structure_is_silent(spark):
     assert {r.page_id: r.text for r in got} == {k: " ".join(f"own{k}x{j}" for j in range(12)) for k in range(5)}
 
 
+def test_repeated_stretches_go_inside_articles(spark):
+    share = "share this story with friends by mail or post"
+    pages = [(k, f"http://h.org/{k}", f"<article><p>{' '.join(f'own{k}x{j}' for j in range(12))}</p><p>{share}</p></article><main>beside{k} it</main><div>stray</div>") for k in range(5)]
+    copy = "<article>" + " ".join(f"same{j}" for j in range(20)) + "</article>"
+    pages += [(k, f"http://h.org/{k}", copy) for k in range(5, 9)]
+    got = html_text.main_texts(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    want = {k: " ".join([*(f"own{k}x{j}" for j in range(12)), f"beside{k} it"]) for k in range(5)}
+    assert {r.page_id: r.text for r in got} == want | {k: copy[9:-10] for k in range(5, 9)}
+
+
 def test_suffix_array_against_windows():
     import random
 

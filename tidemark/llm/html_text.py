@@ -4,9 +4,9 @@ A page is cut into blocks; its elements say which blocks are chrome (menus, head
 adverts, forms, comments and the like) and which stand in the page's article. Pages are
 then taken by host: the token streams of their visible blocks are concatenated, suffixes
 sorted to the depth that matters, and stretches found that occur on several distinct
-pages. Where the structure leaves a block undecided, covered stretches are removed as
-boilerplate and unique runs kept. An article that is marked as such is kept whole even
-where other pages repeat it, and marked chrome goes even where it is unique.
+pages. Covered stretches are removed as boilerplate, inside articles too, and unique runs
+kept. The structure guards this: a marked article that repeats as a whole is kept, and
+marked chrome goes even where it is unique.
 
 A host's pages are dealt by a salt when it holds more than a small share of all pages, and
 read in bounded lots, so no host meets in one task and a lot fits in memory.
@@ -164,19 +164,33 @@ def repeated(streams: list[list[str]]) -> list[np.ndarray]:
     return np.split(flags, np.cumsum(sizes)[:-1]) if len(streams) else []
 
 
+def main_text(page: list[tuple[int, str]], gone: np.ndarray) -> str:
+    """What is left of a page's blocks: gone says which words stand in a repeated stretch.
+
+    The top standing above OPEN is the page's marked part. If no stretch of RUN own words
+    is left of it, the part as a whole repeats (a copy, perhaps with small edits), and it
+    is kept whole. Beside it, an unmarked block shorter than a stretch goes, as repeats
+    cannot tell about it. Everything else is what the repeats leave.
+    """
+    words = [w for _, t in page for w in t.split(" ")]
+    sizes = [t.count(" ") + 1 for _, t in page]
+    standing = np.repeat([k for k, _ in page], sizes)
+    keep = ~gone
+    best = max((k for k, _ in page), default=OPEN)
+    if best > OPEN:
+        marked = standing == best
+        own = keep[marked]
+        if not (len(own) >= RUN and np.convolve(own, np.ones(RUN, int), "valid").max() == RUN):
+            keep = keep | marked
+        keep = keep & ((standing > OPEN) | (np.repeat(sizes, sizes) >= RUN))
+    return " ".join(w for w, k in zip(words, keep) if k)
+
+
 def texts_of_lot(sources: list[str]) -> list[str]:
     """Main texts of pages of one host."""
     pages = [blocks(s) for s in sources]
     covered = repeated([[w for _, t in page for w in t.split(" ")] for page in pages])
-    out = []
-    for page, gone in zip(pages, covered):
-        best = max((k for k, _ in page), default=OPEN)
-        if best > OPEN:
-            out.append(" ".join(t for k, t in page if k == best))
-            continue
-        words = [w for _, t in page for w in t.split(" ")]
-        out.append(" ".join(w for w, g in zip(words, gone) if not g))
-    return out
+    return [main_text(page, gone) for page, gone in zip(pages, covered)]
 
 
 def _lots(batches) -> Iterator[tuple[list, list[str]]]:
@@ -210,8 +224,8 @@ def _extract(kind: pa.DataType):
 def main_texts(pages: DataFrame, id_column: str = "page_id", url_column: str = "url", html_column: str = "html") -> DataFrame:
     """Rows (id, url, text, n_chars) for every row of pages.
 
-    Null html is empty, and an empty page has empty text. A page without a marked article
-    or main part is what the host's suffix array leaves of it. A url without a host, or a
+    Null html is empty, and an empty page has empty text. Every page is what the host's
+    suffix array leaves of it, but a marked part that repeats as a whole. A url without a host, or a
     null one, counts as the host ''. Null and repeated ids are carried, repeated rows each
     come out, an empty table gives no rows, other columns are ignored; pages are read
     whole. Character references are decoded and blocks joined by one space.
