@@ -143,6 +143,16 @@ def test_repeated_stretches_go_inside_articles(spark):
     assert {r.page_id: r.text for r in got} == want | {k: copy[9:-10] for k in range(5, 9)}
 
 
+def test_repeats_are_settled_over_the_whole_host(spark):
+    share = "share this story with friends by mail or post"
+    own = {k: " ".join(f"own{k}x{j}" for j in range(12)) for k in range(400)}
+    pages = [(k, f"http://{'h' if k % 2 else 'g'}.org/{k}", f"<article>{t}<p>{share if k in (1, 151, 301, 2, 152) else ''}</p></article>") for k, t in own.items()]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(8, "page_id")
+    got = {r.page_id: r.text for r in html_text.main_texts(df).collect()}
+    # Three pages of one host hold the line, but only two of the other.
+    assert got == own | {k: f"{own[k]} {share}" for k in (2, 152)}
+
+
 def test_suffix_array_against_windows():
     import random
 

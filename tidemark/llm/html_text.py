@@ -2,14 +2,16 @@
 
 A page is cut into blocks; its elements say which blocks are chrome (menus, headers,
 adverts, forms, comments and the like) and which stand in the page's article. Pages are
-then taken by host: the token streams of their visible blocks are concatenated, suffixes
-sorted to the depth that matters, and stretches found that occur on several distinct
-pages. Covered stretches are removed as boilerplate, inside articles too, and unique runs
+then taken by lots: the token streams of their visible blocks are concatenated, suffixes
+sorted to the depth that matters, and each lot tells its distinct stretches by host with
+the pages that hold them. These are summed over all lots, so a stretch is repeated when
+several distinct pages of its host hold it, wherever they are read. Covered stretches are removed as boilerplate, inside articles too, and unique runs
 kept. The structure guards this: a marked article that repeats as a whole is kept, and
 marked chrome goes even where it is unique.
 
-A host's pages are dealt by a salt when it holds more than a small share of all pages, and
-read in bounded lots, so no host meets in one task and a lot fits in memory.
+Stretches travel as 64-bit fingerprints, packed by ranges of their value; the repeated ones
+go back to the groups that the pages are dealt to. A lot and a group are bounded; a range
+holds one entry of a stretch for every lot and group that has it.
 """
 
 from __future__ import annotations
@@ -20,16 +22,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import partitions
+from tidemark.llm.bytescan import U64, Words, binary, mix
+from tidemark.llm.shared import partitions, text_bytes
 
-#: Tokens of a repeated stretch, and the distinct pages of a lot that must hold it.
+#: Tokens of a repeated stretch, and the distinct pages of a host that must hold it.
 RUN, PAGES = 8, 3
 LOT_BYTES, LOT_PAGES = 2 << 20, 512
-#: Hosts with more than this share of all pages are dealt by a salt; at most so many hosts are.
-HOT_HOSTS, LEAST_PAGES = 4000, 64
+#: Bytes of html behind a group of pages, a range of fingerprints and a task.
+GROUP_BYTES, RANGE_BYTES, TASK_BYTES = 4 << 20, 8 << 20, 64 << 20
 
 # Element names of the HTML standard and the words that sites use in class, id and role.
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -129,11 +133,10 @@ def blocks(source: str) -> list[tuple[int, str]]:
     return [(k, t) for k, t in texts if t]
 
 
-def repeated(streams: list[list[str]]) -> list[np.ndarray]:
-    """For each token stream, which tokens stand in a stretch of RUN tokens that PAGES or more streams hold.
+def ranked(streams: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each token of all streams: its stream, the tokens left in it, and the rank of its suffix to the depth of RUN.
 
-    Suffixes of all streams are ranked by doubling prefixes, to the depth of RUN, and
-    sorted; equal neighbours share a stretch.
+    Suffixes are ranked by doubling prefixes; equal ranks are equal stretches.
     """
     names: dict[str, int] = {}
     sizes = np.array([len(s) for s in streams], np.int64)
@@ -147,21 +150,55 @@ def repeated(streams: list[list[str]]) -> list[np.ndarray]:
         pair = rank * (int(rank.max(initial=0)) + 2) + np.where(left > depth, follow, -1) + 1
         _, rank = np.unique(pair, return_inverse=True)
         depth *= 2
-    covered = np.zeros(len(ids) + RUN + 1, np.int64)
-    if len(ids):
-        order = np.lexsort((page, rank))
-        order = order[left[order] >= RUN]
-        r, p = rank[order], page[order]
-        new_run = np.append(True, r[1:] != r[:-1])[: len(r)]
-        new_page = new_run.copy()
-        new_page[1:] |= p[1:] != p[:-1]
-        run = np.cumsum(new_run) - 1
-        pages = np.bincount(run, weights=new_page) if len(run) else np.zeros(0)
-        found = order[pages[run] >= PAGES] if len(run) else order
-        np.add.at(covered, found, 1)
-        np.add.at(covered, found + RUN, -1)
-    flags = np.cumsum(covered)[: len(ids)] > 0
-    return np.split(flags, np.cumsum(sizes)[:-1]) if len(streams) else []
+    return page, left, rank
+
+
+def tallied(page: np.ndarray, *keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place of one row of each distinct keys, how many distinct pages have them)."""
+    if not len(page):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    order = np.lexsort((page, *keys))
+    new = np.append(True, np.any([k[order][1:] != k[order][:-1] for k in keys], axis=0))
+    new_page = new.copy()
+    new_page[1:] |= page[order][1:] != page[order][:-1]
+    return order[new], np.add.reduceat(new_page.astype(np.int64), np.flatnonzero(new))
+
+
+def covered(sizes: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
+    """For each stream, which tokens stand in a stretch that begins at one of first."""
+    edge = np.zeros(int(sizes.sum()) + RUN + 1, np.int64)
+    np.add.at(edge, first, 1)
+    np.add.at(edge, first + RUN, -1)
+    return np.split(np.cumsum(edge)[: int(sizes.sum())] > 0, np.cumsum(sizes)[:-1]) if len(sizes) else []
+
+
+def repeated(streams: list[list[str]]) -> list[np.ndarray]:
+    """For each token stream of one host, which tokens stand in a stretch of RUN tokens that PAGES or more streams hold."""
+    page, left, rank = ranked(streams)
+    first = np.flatnonzero(left >= RUN)
+    one, n = tallied(page[first], rank[first])
+    found = first[np.isin(rank[first], rank[first][one[n >= PAGES]])]
+    return covered(np.array([len(s) for s in streams], np.int64), found)
+
+
+def fingerprints(texts: list[str], hosts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(words of each text, first words of its stretches, their fingerprints within the text's host)."""
+    column = pa.array(texts, pa.large_string())
+    data = column.buffers()[2]
+    data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+    words = Words(data, np.frombuffer(column.buffers()[1], np.int64)[: len(texts) + 1])
+    first, h = words.windows(RUN)
+    return words.count, first, mix(h ^ mix(hosts.astype(np.int64).view(U64))[words.row_of_word()[first]])
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Numbers by planes of equal bytes, as those of high places are alike and compress."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T.tobytes()
+
+
+def _numbers(planes: bytes, kind) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.frombuffer(planes, np.uint8).reshape(width, -1).T.copy().view(kind).ravel()
 
 
 def main_text(page: list[tuple[int, str]], gone: np.ndarray) -> str:
@@ -186,57 +223,130 @@ def main_text(page: list[tuple[int, str]], gone: np.ndarray) -> str:
     return " ".join(w for w, k in zip(words, keep) if k)
 
 
-def texts_of_lot(sources: list[str]) -> list[str]:
-    """Main texts of pages of one host."""
-    pages = [blocks(s) for s in sources]
-    covered = repeated([[w for _, t in page for w in t.split(" ")] for page in pages])
-    return [main_text(page, gone) for page, gone in zip(pages, covered)]
-
-
-def _lots(batches) -> Iterator[tuple[list, list[str]]]:
-    keys: list[tuple] = []
-    sources: list[str] = []
-    host, size = None, 0
+def _lots(batches, columns: tuple[str, ...], source: str) -> Iterator[list[list]]:
+    """The named columns of consecutive rows, at most LOT_PAGES or little over LOT_BYTES of source."""
     for batch in batches:
-        for key, url, own, source in zip(*(batch[c].to_pylist() for c in ("id", "url", "host", "html"))):
-            if keys and (own != host or size > LOT_BYTES or len(keys) >= LOT_PAGES):
-                yield keys, sources
-                keys, sources, size = [], [], 0
-            host, size = own, size + len(source or "")
-            keys.append((key, url))
-            sources.append(source or "")
-    if keys:
-        yield keys, sources
+        rows = batch.select(columns)
+        at, size = 0, 0
+        lengths = pc.fill_null(pc.binary_length(batch[source]), 0).to_pylist()
+        for k, n in enumerate(lengths):
+            if k > at and (size > LOT_BYTES or k - at >= LOT_PAGES):
+                yield [c.to_pylist() for c in rows.slice(at, k - at).columns]
+                at, size = k, 0
+            size += n
+        if len(lengths) > at:
+            yield [c.to_pylist() for c in rows.slice(at).columns]
 
 
-def _extract(kind: pa.DataType):
+def _told(ranges: int):
+    """Each lot's distinct stretches by host and group, with their pages up to PAGES: rows (range, keys, groups)."""
+
     def run(batches):
-        for keys, sources in _lots(batches):
-            texts = texts_of_lot(sources)
+        for group, host, source in _lots(batches, ("group", "host", "html"), "html"):
+            texts = [" ".join(t for _, t in blocks(s or "")) for s in source]
+            hosts, groups = np.array(host, np.int64), np.array(group, np.int64)
+            _, first, key = fingerprints(texts, hosts)
+            page, _, rank = ranked([t.split(" ") if t else [] for t in texts])
+            page, rank = page[first], rank[first]
+            one, n = tallied(page, groups[page], hosts[page], rank)
+            order = np.argsort(key[one])
+            key, tag = key[one][order], ((groups[page[one]] << 2) | np.minimum(n, PAGES))[order].astype(np.uint32)
+            part = ((key >> U64(40)) * U64(ranges) >> U64(24)).astype(np.int64)
+            cuts = np.flatnonzero(np.diff(part, prepend=-1))
+            ends = [*cuts[1:], len(key)]
             yield pa.RecordBatch.from_pydict({
-                "id": pa.array([k for k, _ in keys], kind), "url": pa.array([u for _, u in keys], pa.string()),
-                "text": pa.array(texts, pa.string()), "n_chars": pa.array([len(t) for t in texts], pa.int64()),
+                "range": pa.array(part[cuts], pa.int32()),
+                "keys": binary([_planes(np.diff(key[i:j], prepend=U64(0))) for i, j in zip(cuts, ends)]),
+                "groups": binary([_planes(tag[i:j]) for i, j in zip(cuts, ends)]),
             })
 
     return run
 
 
+def _repeats(batches):
+    """Rows (group, keys) of the stretches that PAGES or more pages hold; rows of a range come together."""
+
+    def settled(keys, groups):
+        key, tag = np.concatenate(keys), np.concatenate(groups)
+        order = np.argsort(key)
+        key, tag = key[order], tag[order]
+        start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        n = np.add.reduceat((tag & 3).astype(np.int64), start)
+        found = np.repeat(n >= PAGES, np.diff(np.append(start, len(key))))
+        key, group = key[found], tag[found] >> 2
+        order = np.argsort(group, kind="stable")
+        key, group = key[order], group[order]
+        cuts = np.flatnonzero(np.diff(group.astype(np.int64), prepend=-1))
+        return pa.RecordBatch.from_pydict({"group": pa.array(group[cuts], pa.int32()), "keys": binary([key[i:j].tobytes() for i, j in zip(cuts, [*cuts[1:], len(key)])])})
+
+    at, keys, groups = None, [], []
+    for batch in batches:
+        for part, k, g in zip(*(batch[c].to_pylist() for c in ("range", "keys", "groups"))):
+            if part != at and keys:
+                yield settled(keys, groups)
+                keys, groups = [], []
+            at = part
+            keys.append(np.cumsum(_numbers(k, U64), dtype=U64))
+            groups.append(_numbers(g, np.uint32))
+    if keys:
+        yield settled(keys, groups)
+
+
+def _parsed(batches):
+    """Pages as their blocks: one line for each in text, one byte for its standing."""
+    for group, key, url, host, source in _lots(batches, ("group", "id", "url", "host", "html"), "html"):
+        pages = [blocks(s or "") for s in source]
+        yield pa.RecordBatch.from_pydict({
+            "group": pa.array(group, pa.int32()), "keys": pa.nulls(len(pages), pa.binary()), "id": pa.array(key, pa.int64()), "url": pa.array(url, pa.string()), "host": pa.array(host, pa.int64()),
+            "standing": binary([bytes(k for k, _ in p) for p in pages]), "text": pa.array(["\n".join(t for _, t in p) for p in pages], pa.string()),
+        })
+
+
+def _left(batches):
+    """Main texts of parsed pages; in each group, rows with the repeated stretches stand before the pages."""
+    at, keys, known = None, [], np.zeros(0, U64)
+    for group, packed, key, url, host, standing, text in _lots(batches, ("group", "keys", "id", "url", "host", "standing", "text"), "text"):
+        k = 0
+        while k < len(group):
+            if group[k] != at:
+                at, keys, known = group[k], [], np.zeros(0, U64)
+            if packed[k] is not None:
+                keys.append(np.frombuffer(packed[k], U64))
+                k += 1
+                continue
+            if keys:
+                known, keys = np.unique(np.concatenate(keys)), []
+            end = k
+            while end < len(group) and group[end] == at:
+                end += 1
+            sizes, first, own = fingerprints(text[k:end], np.array(host[k:end], np.int64))
+            gone = covered(sizes, first[np.isin(own, known)])
+            out = [main_text([*zip(s, t.split("\n"))] if t else [], g) for s, t, g in zip(standing[k:end], text[k:end], gone)]
+            yield pa.RecordBatch.from_pydict({
+                "id": pa.array(key[k:end], pa.int64()), "url": pa.array(url[k:end], pa.string()),
+                "text": pa.array(out, pa.string()), "n_chars": pa.array([len(t) for t in out], pa.int64()),
+            })
+            k = end
+
+
 def main_texts(pages: DataFrame, id_column: str = "page_id", url_column: str = "url", html_column: str = "html") -> DataFrame:
     """Rows (id, url, text, n_chars) for every row of pages.
 
     Null html is empty, and an empty page has empty text. Every page is what the host's
-    suffix array leaves of it, but a marked part that repeats as a whole. A url without a host, or a
+    suffix arrays leave of it, but a marked part that repeats as a whole. A url without a host, or a
     null one, counts as the host ''. Null and repeated ids are carried, repeated rows each
     come out, an empty table gives no rows, other columns are ignored; pages are read
     whole. Character references are decoded and blocks joined by one space.
     """
     spark = pages.sparkSession
     host = F.lower(F.coalesce(F.regexp_extract(url_column, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1), F.lit("")))
-    rows = pages.select(F.col(id_column).cast("long").alias("id"), F.col(url_column).alias("url"), host.alias("host"), F.col(html_column).alias("html"))
-    total = pages.count()
-    share = max(LEAST_PAGES, -(-total // HOT_HOSTS))
-    hot = rows.groupBy("host").agg(F.ceil(F.count("*") / share).cast("int").alias("salts")).where("salts > 1")
-    # At most total / share hosts have more than share pages each.
-    dealt = rows.join(F.broadcast(hot), "host", "left").withColumn("salt", F.pmod(F.xxhash64("id", "url"), F.coalesce("salts", F.lit(1))))
-    dealt = dealt.repartition(partitions(spark), "host", "salt").sortWithinPartitions("host", "salt", "id").select("id", "url", "host", "html")
-    return dealt.mapInArrow(_extract(pa.int64()), "id long, url string, text string, n_chars long").withColumnRenamed("id", id_column)
+    rows = pages.select(F.col(id_column).cast("long").alias("id"), F.col(url_column).alias("url"), F.xxhash64(host).alias("host"), F.col(html_column).alias("html"))
+    size, least = text_bytes(rows, "html"), partitions(spark)
+    groups, ranges = max(4 * least, -(-size // GROUP_BYTES)), max(least, -(-size // RANGE_BYTES))
+    tasks = max(least, -(-size // TASK_BYTES))
+    rows = rows.withColumn("group", F.pmod(F.xxhash64("id", "url", "html"), F.lit(groups)).cast("int"))
+    told = rows.select("group", "host", "html").mapInArrow(_told(ranges), "range int, keys binary, groups binary")
+    found = told.repartition(tasks, "range").sortWithinPartitions("range").mapInArrow(_repeats, "group int, keys binary")
+    parsed = rows.mapInArrow(_parsed, "group int, keys binary, id long, url string, host long, standing binary, text string")
+    both = parsed.unionByName(found, allowMissingColumns=True).repartition(tasks, "group").sortWithinPartitions("group", F.col("keys").isNull())
+    return both.mapInArrow(_left, "id long, url string, text string, n_chars long").withColumnRenamed("id", id_column)
