@@ -139,3 +139,10 @@ def test_phrase_and_markup_helpers(spark):
     df = spark.createDataFrame([("A [link](http://x.y) <b>to</b> a@b.cc &amp; me",)], "t string")
     r = df.select(X.plain("t").alias("p"), X.escaped("t").alias("e"), X.ngrams(X.words(F.lit("a b c")), 2).alias("n"), X.marked(F.lit("a.b A.B"), "a.b").alias("m"), X.ngrams(X.words(F.lit("a")), 3).alias("z")).first()
     assert r.p.split() == ["A", "link", "to", "me"] and "&lt;b&gt;" in r.e and r.n == ["a b", "b c"] and r.m == "<em>a.b</em> <em>A.B</em>" and r.z == []
+
+
+def test_overlap_best_takes_every_item(spark):
+    docs = spark.createDataFrame([(1, "s", "red green"), (2, "s", "green blue blue"), (3, None, "x"), (4, "s", None)], "doc_id long, source string, text string")
+    items = spark.createDataFrame([(k, t) for k, t in ((0, "red"), (7, "Green, blue"), (40, "no one"), (41, None))], "item_id long, text string")
+    got = rows(L.overlap_best(docs, items, "doc_id", "source", "text", "item_id", "text"))
+    assert got == sorted([(0, "s", 3, 1), (7, "s", 9, 2), (40, "s", 0, 1), (41, "s", 0, 1), *((k, None, 0, 3) for k in (0, 7, 40, 41))], key=repr)

@@ -63,11 +63,6 @@ def plain(text: Column | str) -> Column:
     return out
 
 
-def overlap(a: Column, b: Column) -> Column:
-    """Sum of the lengths of shared terms."""
-    return F.aggregate(F.array_intersect(a, b), F.lit(0).cast("bigint"), lambda s, w: s + F.length(w))
-
-
 def useful(text: Column | str) -> Column:
     """A summary, or null where it says nothing."""
     c = F.trim(_col(text))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import text as X
 from tidemark.functions import urls as U
 from tidemark.operators import facets as A
+from tidemark.operators import lexical as L
 from tidemark.operators import phrases as P
 from tidemark.plans.registry import query
 from tidemark.sources.tables import table
@@ -43,11 +44,7 @@ def c13_bigrams(spark, folder):
     s AS (SELECT item_id, source, doc_id, coalesce(list_sum(list_transform(list_intersect(v, w), lambda x: length(x))), 0)::BIGINT AS score FROM q, d)
     SELECT item_id, source, max(score) AS score, arg_max(doc_id, (score, -doc_id)) AS doc_id FROM s GROUP BY 1, 2""")
 def c14_overlap_best(spark, folder):
-    rows = table(spark, folder, "documents").select("doc_id", "source", F.array_distinct(X.words("text")).alias("w"))
-    asked = table(spark, folder, "benchmark").where("item_id < 5").select("item_id", F.array_distinct(X.words("text")).alias("v")).collect()  # five rows
-    pairs = F.inline(F.array(*[F.struct(F.lit(r["item_id"]).alias("item_id"), X.overlap(F.array(*map(F.lit, r["v"])), F.col("w")).alias("score")) for r in asked]))
-    scored = rows.select("doc_id", "source", pairs)
-    return scored.groupBy("item_id", "source").agg(F.max("score").alias("score"), F.max_by("doc_id", F.struct("score", -F.col("doc_id"))).alias("doc_id"))
+    return L.overlap_best(table(spark, folder, "documents"), table(spark, folder, "benchmark").where("item_id < 5"), "doc_id", "source", "text", "item_id", "text")
 
 
 @query("SELECT doc_id, array_to_string(regexp_split_to_array(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ')[1:48], ' ') AS short FROM documents")
