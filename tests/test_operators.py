@@ -146,3 +146,14 @@ def test_overlap_best_takes_every_item(spark):
     items = spark.createDataFrame([(k, t) for k, t in ((0, "red"), (7, "Green, blue"), (40, "no one"), (41, None))], "item_id long, text string")
     got = rows(L.overlap_best(docs, items, "doc_id", "source", "text", "item_id", "text"))
     assert got == sorted([(0, "s", 3, 1), (7, "s", 9, 2), (40, "s", 0, 1), (41, "s", 0, 1), *((k, None, 0, 3) for k in (0, 7, 40, 41))], key=repr)
+
+
+def test_nearest_takes_queries_as_a_table(spark, monkeypatch):
+    monkeypatch.setattr(V, "BLOCK", 8)
+    monkeypatch.setattr(V, "SLICE", 16)
+    df = spark.range(100).select("id", F.array(F.cos("id"), F.sin("id")).alias("v"))
+    asked = df.where("id % 5 = 0").withColumnRenamed("id", "query")
+    got = rows(V.nearest(df, asked, "id", "v", 3).select("query", "rank", "id"))
+    near = lambda q: sorted(range(100), key=lambda i: (-round(math.cos(i - q), 9), i))[:3]
+    assert got == sorted([(q, r + 1, i) for q in range(0, 100, 5) for r, i in enumerate(near(q))], key=repr)
+    assert V.nearest(df, asked.limit(0), "id", "v", 3).count() == V.nearest(df.limit(0), asked, "id", "v", 3).count() == 0

@@ -27,36 +27,65 @@ def unit(a: Column) -> Column:
     return dot(a, a).between(0.9, 1.1)
 
 
-def nearest(vectors: DataFrame, queries: list[tuple[int, list[float]]], key: str, vector: str, k: int, floor: float | None = None) -> DataFrame:
+#: Queries of a block and vectors of a slice; a cell holds one block against one slice.
+BLOCK, SLICE, LEAST_SLICES, STEP = 2048, 1 << 16, 8, 256
+
+
+def nearest(vectors: DataFrame, queries: DataFrame | list[tuple[int, list[float]]], key: str, vector: str, k: int, floor: float | None = None) -> DataFrame:
     """Rows (query, key, score, rank): the k nearest of each query among the (already filtered) vectors.
 
-    A stated set of queries is held against all rows in blocks: each batch is one matrix
-    product and passes on its own k best of each query, so what is ranked grows with the
-    number of batches, not of rows.
+    Queries are rows (query, vector column). Blocks of them meet slices of the vectors in
+    cells by a keyed shuffle: each batch of a cell is one matrix product for every STEP
+    queries and passes on its own k best of each query, so what is ranked grows with the
+    number of batches, not of rows. A task holds one block of queries.
     """
-    ids = np.array([q for q, _ in queries], np.int64)
-    asked = np.array([v for _, v in queries], np.float64)
-    asked = asked / np.maximum(np.linalg.norm(asked, axis=1, keepdims=True), 1e-300)
+    spark = vectors.sparkSession
+    if isinstance(queries, list):
+        queries = spark.createDataFrame(queries, T.StructType([T.StructField("query", T.LongType()), T.StructField(vector, T.ArrayType(T.DoubleType()))]))
+    blocks = max(1, -(-queries.count() // BLOCK))
+    slices = max(LEAST_SLICES, -(-vectors.count() // SLICE))
+
+    def side(rows: DataFrame, name: str, own: str, many: int, other: str, others: int, last: bool) -> DataFrame:
+        rows = rows.select(F.col(name).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.lit(last).alias("held"))
+        return rows.withColumn(own, F.pmod(F.xxhash64("id"), F.lit(many)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
+
+    both = side(queries, "query", "block", blocks, "slice", slices, False).unionByName(side(vectors, key, "slice", slices, "block", blocks, True))
+    both = both.repartition(min(blocks * slices, 1 << 15), "block", "slice").sortWithinPartitions("block", "slice", "held").select("block", "slice", "held", "id", "v")
+
+    def best(ids, asked, own, x):
+        size = np.linalg.norm(x, axis=1)
+        rows = []
+        for at in range(0, len(ids), STEP):
+            scores = np.round((x @ asked[at : at + STEP].T) / np.where(size > 0, size, np.nan)[:, None], 9)
+            scores[np.isnan(scores)] = -np.inf
+            for j in range(scores.shape[1]):
+                top = np.lexsort((own, -scores[:, j]))[:k]
+                top = top[scores[top, j] >= (-1e9 if floor is None else floor)]
+                rows.append((np.full(len(top), ids[at + j]), own[top], scores[top, j]))
+        q, i, s = (np.concatenate(c) for c in zip(*rows))
+        return pa.RecordBatch.from_pydict({"query": pa.array(q, pa.int64()), key: pa.array(i, pa.int64()), "score": pa.array(s)})
 
     def score(batches):
+        cell, ids, asked, whole = None, [], [], None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = np.stack(batch[vector].to_numpy(zero_copy_only=False)).astype(np.float64)
-            size = np.linalg.norm(x, axis=1)
-            own = np.asarray(batch[key])
-            scores = np.round((x @ asked.T) / np.where(size > 0, size, np.nan)[:, None], 9)
-            scores[np.isnan(scores)] = -np.inf
-            rows = []
-            for j in range(len(ids)):
-                best = np.lexsort((own, -scores[:, j]))[:k]
-                best = best[scores[best, j] >= (-1e9 if floor is None else floor)]
-                rows.append((np.full(len(best), ids[j]), own[best], scores[best, j]))
-            q, i, s = (np.concatenate(c) for c in zip(*rows))
-            yield pa.RecordBatch.from_pydict({"query": pa.array(q, pa.int64()), key: pa.array(i, pa.int64()), "score": pa.array(s)})
+            tags = np.stack([np.asarray(batch["block"]), np.asarray(batch["slice"]), batch["held"].to_numpy(zero_copy_only=False)], axis=1).astype(np.int64)
+            cuts = [0, *(np.flatnonzero((tags[1:] != tags[:-1]).any(axis=1)) + 1), len(tags)]
+            own, v = np.asarray(batch["id"]), batch["v"].to_numpy(zero_copy_only=False)
+            for i, j in zip(cuts, cuts[1:]):
+                if tuple(tags[i, :2]) != cell:
+                    cell, ids, asked, whole = tuple(tags[i, :2]), [], [], None
+                x = np.stack(v[i:j])
+                if not tags[i, 2]:
+                    ids.append(own[i:j])
+                    asked.append(x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300))
+                elif ids:
+                    whole = whole or (np.concatenate(ids), np.concatenate(asked))
+                    yield best(*whole, own[i:j], x)
 
     shape = T.StructType([T.StructField("query", T.LongType()), T.StructField(key, T.LongType()), T.StructField("score", T.DoubleType())])
-    found = vectors.select(key, vector).mapInArrow(score, shape)
+    found = both.mapInArrow(score, shape)
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), key)).cast("bigint")
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 

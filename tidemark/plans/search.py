@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,8 +56,8 @@ def f18_multi_match(spark, folder):
     SELECT query, vec_id, round(list_cosine_similarity(v, w), 6) AS score FROM q, e QUALIFY row_number() OVER (PARTITION BY query ORDER BY round(list_cosine_similarity(v, w), 9) DESC, vec_id) <= 10""")
 def q02_nearest(spark, folder):
     rows = table(spark, folder, "embeddings")
-    asked = [(r["vec_id"], r["embedding"]) for r in rows.where("vec_id % 50 = 0").orderBy("vec_id").toLocalIterator()]
-    return functools.reduce(DataFrame.unionByName, [V.nearest(rows, asked[k : k + 256], "vec_id", "embedding", 10) for k in range(0, len(asked), 256)]).select("query", "vec_id", F.round("score", 6).alias("score"))
+    asked = rows.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query")
+    return V.nearest(rows, asked, "vec_id", "embedding", 10).select("query", "vec_id", F.round("score", 6).alias("score"))
 
 
 @query("""WITH q AS (SELECT vec_id AS query, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id IN (1, 2, 3)), e AS (SELECT vec_id, label, embedding::DOUBLE[] AS w FROM embeddings WHERE label IN (1, 2, 3)),
@@ -67,7 +65,7 @@ def q02_nearest(spark, folder):
     SELECT query, vec_id, round(sum(score * CASE label WHEN 1 THEN 30 WHEN 2 THEN 20 ELSE 10 END), 5) AS score FROM r WHERE rank <= 20 AND score >= 0 GROUP BY 1, 2""")
 def q03_field_fan_out(spark, folder):
     rows = table(spark, folder, "embeddings")
-    asked = [(r["vec_id"], r["embedding"]) for r in rows.where(F.col("vec_id").isin(1, 2, 3)).collect()]
+    asked = rows.where(F.col("vec_id").isin(1, 2, 3)).withColumnRenamed("vec_id", "query")
     legs = [(V.nearest(rows.where(F.col("label") == k), asked, "vec_id", "embedding", 20, floor=0.0), boost) for k, boost in ((1, 30.0), (2, 20.0), (3, 10.0))]
     return R.boosted(legs, "vec_id", ["query"]).withColumn("score", F.round("score", 5))
 
@@ -175,8 +173,8 @@ def a30_precision_mrr_recall(spark, folder):
     SELECT a.query, count(b.vec_id)::DOUBLE / 10 AS recall FROM a LEFT JOIN b ON a.query = b.query AND a.vec_id = b.vec_id GROUP BY 1""")
 def a36_recall(spark, folder):
     rows = table(spark, folder, "embeddings")
-    asked = [(r["vec_id"], r["embedding"]) for r in rows.where("vec_id % 50 = 0").toLocalIterator()]
-    half = rows.withColumn("embedding", F.slice("embedding", 1, 32))
-    exact, rough = V.nearest(rows, asked, "vec_id", "embedding", 10), V.nearest(half, [(q, v[:32]) for q, v in asked], "vec_id", "embedding", 10)
+    asked = rows.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query")
+    half = lambda x: x.withColumn("embedding", F.slice("embedding", 1, 32))
+    exact, rough = V.nearest(rows, asked, "vec_id", "embedding", 10), V.nearest(half(rows), half(asked), "vec_id", "embedding", 10)
     met = rough.select("query", "vec_id", F.lit(1).alias("met"))
     return exact.join(met, ["query", "vec_id"], "left").groupBy("query").agg((F.count("met") / 10).alias("recall"))
