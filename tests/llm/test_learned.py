@@ -103,6 +103,14 @@ def test_licences(spark):
     assert license_scan.scan(docs, license_scan.fit(docs.limit(0))).where("confirmed").count() == len(got)
 
 
+def test_wrapped_licences(spark):
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that"
+    cases = [(1, "A line.\n" + bsd), (2, bsd.replace("\n", "\n\n")), (3, "Released under the\r\nMIT\r\nLicense."), (4, "One.\nReleased under the MIT License.\nTwo.")]
+    docs = table(spark, [(*c, "en") for c in cases])
+    got = sorted((r.doc_id, r.paragraph, r.family) for r in license_scan.scan(docs, license_scan.fit(docs)).collect() if r.confirmed)
+    assert got == [(1, 1, "BSD"), (3, 0, "MIT"), (4, 1, "MIT")]
+
+
 def test_licences_of_the_query(spark):
     found = queries.op1_license_scans(spark, FOLDER)
     assert not [x for x in ("Python", "Pandas", "Arrow") if x in found._jdf.queryExecution().toString()]
