@@ -75,9 +75,14 @@ def in_scope(url: Column | str, kind: str, at_host: str, at_path: str = "/") ->
     return same & (p == at_path)
 
 
+# How archives write a host's default ports.
+PORT_SUFFIXES = ("", ":80", ":443", "_80", "_443")
+
+
 def aliases(at_host: str) -> list[str]:
-    bare = at_host.removeprefix("www.")
-    return [f"{w}{bare}{p}" for w in ("", "www.") for p in ("", ":80", ":443", "_80", "_443")]
+    """The spellings of a host: with and without ``www.``, by each way to write a default port."""
+    names = (at_host.removeprefix("www."), "www." + at_host.removeprefix("www."))
+    return [name + suffix for name in names for suffix in PORT_SUFFIXES]
 
 
 def is_advert(url: Column | str) -> Column:

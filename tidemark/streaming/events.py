@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -12,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tidemark.storage import shared_folder
+
 SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
@@ -23,8 +24,7 @@ def event_stream(spark: SparkSession, folder: str, files_at_once: int = 64) -> D
 
 def work_folder(spark: SparkSession) -> str:
     """A new folder for a query's checkpoint and output, in the shared folder that the session names."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="streams-")
-    return os.path.join(base, f"stream-{uuid.uuid4().hex}")
+    return os.path.join(shared_folder(spark), f"stream-{uuid.uuid4().hex}")
 
 
 def drained(stream: DataFrame, mode: str, merge: Callable[[DataFrame | None, DataFrame], DataFrame] | None = None) -> DataFrame:
