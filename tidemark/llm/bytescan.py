@@ -1,12 +1,16 @@
 """Vectorised word scanning over the UTF-8 bytes of Arrow string columns.
 
-Everything here runs inside a Spark task, on one slice of a batch at a time.
-Words and windows of words get 64-bit hashes from prefix sums of a polynomial,
-so the hash of any window costs one subtraction and one multiplication.
+Everything here runs inside a Spark task, on one slice of a batch at a time. A word has
+two 64-bit digests: of up to 7 bytes, each is a one-to-one image of the bytes and their
+number; up to 32 bytes, both come from a state of 128 bits that takes 8 bytes a step;
+longer words are digested by BLAKE2b. The digest of a window of words is folded from the
+digests of its halves. No step is linear, so that no pattern of bytes or words makes
+different windows alike.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,7 +45,10 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 class Rolling:
-    """Prefix sums of values times powers of an odd base, modulo 2**64."""
+    """Prefix sums of values times powers of an odd base, modulo 2**64.
+
+    For places to cut, not for equality: long patterned stretches may share a sum.
+    """
 
     def __init__(self, seed: int):
         rng = np.random.default_rng(seed)
@@ -71,7 +78,22 @@ class Rolling:
         return mix((prefix[end] - prefix[start]) * inverse[start] + (end - start).astype(U64))
 
 
-BYTES, WORDS, CHECK_BYTES, CHECK_WORDS = (Rolling(s) for s in (11, 12, 13, 14))
+BYTES = Rolling(11)
+_SEEDS = np.random.default_rng(12).integers(1, 2**63, (2, 4), dtype=U64) * U64(2) + U64(1)
+#: Bytes of a word that stand in its digest one to one, and bytes up to which words are digested by columns.
+SHORT, MIDDLE = 7, 32
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
+
+
+def folded(h: np.ndarray, n: int, check: bool = False) -> np.ndarray:
+    """Digests of all runs of n neighbours on the last axis, from the digests of single ones."""
+    seed = _SEEDS[int(check)]
+    size = 1
+    while size < n:
+        step = min(size, n - size)
+        h = mix(h[..., : h.shape[-1] - step if h.shape[-1] > step else 0] * seed[2] + h[..., step:] + U64(int(seed[3]) * (size + step) % 2**64))
+        size += step
+    return h
 
 
 def text_slices(column: pa.Array | pa.ChunkedArray, most: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -114,26 +136,45 @@ class Words:
         self.end = np.flatnonzero(ends) + 1
         self.rows = np.searchsorted(self.start, offsets)
         self.count = np.diff(self.rows)
-        self._hash: dict[int, np.ndarray] = {}
-
-    def hashes(self, rolling: Rolling = BYTES) -> np.ndarray:
-        if id(rolling) not in self._hash:
-            self._hash[id(rolling)] = rolling.spans(rolling.prefix(rolling.table[self.data]), self.start, self.end)
-        return self._hash[id(rolling)]
+        self._digests: np.ndarray | None = None
+
+    def digests(self, check: bool = False) -> np.ndarray:
+        """A 64-bit digest of each word; check asks for the second one."""
+        if self._digests is None:
+            n, size = len(self.start), self.end - self.start
+            padded = np.concatenate([self.data, np.zeros(MIDDLE, np.uint8)])
+            lanes = np.ndarray(len(padded) - 7, "<u8", padded, strides=(1,))
+            first = lanes[self.start] & _MASK[np.minimum(size, SHORT)] | size.astype(U64) << U64(56)
+            out = np.stack([mix(first * seed[0] ^ seed[1]) for seed in _SEEDS]) if n else np.zeros((2, 0), U64)
+            far = np.flatnonzero((size > SHORT) & (size <= MIDDLE))
+            if len(far):
+                at, left, state = self.start[far], size[far], out[:, far]
+                for k in range(SHORT, MIDDLE, 8):
+                    own = np.flatnonzero(left > k)
+                    lane = lanes[at[own] + k] & _MASK[np.minimum(left[own] - k, 8)]
+                    for half, seed in zip(state, _SEEDS):
+                        half[own] = mix(half[own] * seed[0] + lane)
+                out[:, far] = [mix(half * seed[2] + other) for half, other, seed in zip(state, state[::-1], _SEEDS)]
+            far = np.flatnonzero(size > MIDDLE)
+            if len(far):
+                raw = memoryview(self.data.tobytes())
+                known = b"".join(hashlib.blake2b(raw[i:j], digest_size=16).digest() for i, j in zip(self.start[far].tolist(), self.end[far].tolist()))
+                out[:, far] = np.frombuffer(known, U64).reshape(-1, 2).T
+            self._digests = out
+        return self._digests[int(check)]
 
     def row_of_word(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.count)), self.count)
 
     def windows(self, n: int, check: bool = False) -> tuple[np.ndarray, np.ndarray]:
-        """(first word of each window of n words inside one row, hash of the window)."""
-        words, over = (CHECK_BYTES, CHECK_WORDS) if check else (BYTES, WORDS)
+        """(first word of each window of n words inside one row, digest of the window)."""
         last = np.repeat(self.rows[1:], self.count) - n
         first = np.flatnonzero(np.arange(len(self.start)) <= last)
-        return first, over.spans(over.prefix(self.hashes(words)), first, first + n)
+        return first, folded(self.digests(check), n, check)[first]
 
-    def whole(self) -> np.ndarray:
-        """A hash of the whole word sequence of each row."""
-        return WORDS.spans(WORDS.prefix(self.hashes()), self.rows[:-1], self.rows[1:])
+    def whole(self, rows: np.ndarray, n: int) -> np.ndarray:
+        """Digests of the whole sequences of rows that have n words each."""
+        return folded(self.digests()[self.rows[rows][:, None] + np.arange(n)], n).reshape(len(rows))
 
 
 def shingle_sets(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -143,10 +184,11 @@ def shingle_sets(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     """
     first, h = words.windows(n)
     row = np.searchsorted(words.rows, first, "right") - 1
-    short = np.flatnonzero((words.count > 0) & (words.count < n))
-    if len(short):
-        h = np.concatenate([h, words.whole()[short]])
-        row = np.concatenate([row, short])
+    for size in range(1, n):
+        short = np.flatnonzero(words.count == size)
+        if len(short):
+            h = np.concatenate([h, words.whole(short, size)])
+            row = np.concatenate([row, short])
     order = np.lexsort((h, row))
     h, row = h[order], row[order]
     if len(h):

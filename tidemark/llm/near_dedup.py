@@ -7,28 +7,33 @@ that may be wrong, without that symbol, and all pairs under the threshold meet i
 
 Texts with equal shingle sets are one class from the start. Classes that share keys form
 clusters, found by connected components over one edge from each class to the least class
-of the key, never over pairs. Inside a cluster, whole shingle sets are compared exactly,
-in blocks of bounded size, so that every link between classes of a cluster is seen; a
-block reports a spanning forest of its links, and components of these are the result.
+of the key, never over pairs. Whole shingle sets are then compared exactly, star first: the
+members of a cluster meet in blocks of bounded size, its least class in each of them. Only
+members that no chain of links in their block ties to it are left, and these alone meet
+every other block of their cluster. So every link that may join two groups is seen, and a
+cluster of copies costs what its members cost, not their pairs. A block reports a spanning
+forest of its links, and components of these are the result.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import bytescan as B
-from tidemark.llm.shared import components, cut, partitions
+from tidemark.llm.shared import components, cut, partitions, spread_join
 
 U64 = np.uint64
 CHUNKS, WIDTH, ERRORS = 10, 6, 1
 SYMBOLS = CHUNKS * WIDTH
 #: Signatures that differ in at most this many symbols always share a key.
 REACH = CHUNKS * (ERRORS + 1) - 1
-#: Classes whose sets are compared at once, and columns of their incidence matrix.
-BLOCK, SLAB = 256, 4096
+#: Classes and shingles of a block, about, and columns of an incidence matrix.
+BLOCK, BLOCK_SHINGLES, SLAB = 256, 1 << 20, 4096
 
 _RNG = np.random.default_rng(5)
 _FLIP = _RNG.integers(1, 2**63, SYMBOLS, dtype=U64)
@@ -64,11 +69,12 @@ def _sketch(shingle: int):
         for batch in batches:
             for i, j, data, offsets in B.text_slices(batch["text"]):
                 h, at = B.shingle_sets(B.Words(data, offsets, lower=True), shingle)
-                digest = [r.spans(r.prefix(h), at[:-1], at[1:]).view(np.int64) for r in (B.WORDS, B.CHECK_WORDS)]
+                raw = memoryview(h.tobytes())
+                digest = np.frombuffer(b"".join(hashlib.blake2b(raw[8 * a : 8 * b], digest_size=16).digest() for a, b in zip(at.tolist(), at[1:].tolist())), np.int64).reshape(-1, 2)
                 yield pa.RecordBatch.from_pydict({
                     "id": batch["id"].slice(i, j - i),
                     "n": pa.array(np.diff(at), pa.int64()),
-                    "high": pa.array(digest[0]), "low": pa.array(digest[1]),
+                    "high": pa.array(digest[:, 0]), "low": pa.array(digest[:, 1]),
                     "signature": B.binary([x.tobytes() for x in signatures(h, at)]),
                 })
 
@@ -82,16 +88,15 @@ def _index(batches):
         yield pa.RecordBatch.from_pydict({"rep": pa.array(np.repeat(np.asarray(batch["rep"]), SYMBOLS)), "key": flat})
 
 
-def _sets(shingle: int):
+def _sets(shingle: int, names: list[str]):
+    """Shingle sets in place of texts; the named columns stay."""
+
     def run(batches):
         for batch in batches:
             for i, j, data, offsets in B.text_slices(batch["text"]):
                 h, at = B.shingle_sets(B.Words(data, offsets, lower=True), shingle)
                 part = batch.slice(i, j - i)
-                yield pa.RecordBatch.from_arrays(
-                    [*(part[c] for c in ("rep", "cluster", "blocks", "block")), B.binary([h[a:b].tobytes() for a, b in zip(at, at[1:])])],
-                    ["rep", "cluster", "blocks", "block", "shingles"],
-                )
+                yield pa.RecordBatch.from_arrays([*(part[c] for c in names), B.binary([h[a:b].tobytes() for a, b in zip(at, at[1:])])], [*names, "shingles"])
 
     return run
 
@@ -114,49 +119,73 @@ def _shared(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return np.rint(out).astype(np.int64)
 
 
-def _forest(reps: np.ndarray, linked: np.ndarray) -> list[tuple[int, int]]:
-    """(rep, least rep of its component) under a symmetric matrix of links."""
-    label = np.argsort(np.argsort(reps, kind="stable"), kind="stable")
+def _labels(reps: np.ndarray, linked: np.ndarray) -> np.ndarray:
+    """For each row of a symmetric matrix of links, the least rep of its component."""
+    label = reps.copy()
     while True:
-        best = np.minimum(label, np.where(linked, label[None, :], len(reps)).min(1))
+        best = np.minimum(label, np.where(linked, label[None, :], np.iinfo(np.int64).max).min(1, initial=np.iinfo(np.int64).max))
         if (best == label).all():
-            break
+            return label
         label = best
-    by_rank = np.sort(reps, kind="stable")
-    return [(int(r), int(by_rank[k])) for r, k in zip(reps, label) if r != by_rank[k]]
-
-
-def _verify(percent: int):
-    def links(reps, sets, block, i, j):
-        sizes = np.array([len(s) for s in sets])
-        if i == j:
-            both = _shared(sets, sets) if len(sets) > 2 else None
-            if both is None:
-                both = np.diag(sizes)
-                both[0, -1] = both[-1, 0] = _shared(sets[:1], sets[-1:])[0, 0]
-        else:
-            a, b = np.flatnonzero(block == i), np.flatnonzero(block == j)
-            both = np.zeros((len(sets), len(sets)), np.int64)
-            if len(a) and len(b):
-                both[np.ix_(a, b)] = _shared([sets[k] for k in a], [sets[k] for k in b])
-                both = np.maximum(both, both.T)
-        union = sizes[:, None] + sizes[None, :] - both
-        return _forest(reps, (100 * both >= percent * union) & (both > 0))
+
+
+def _linked(sizes_a: np.ndarray, sizes_b: np.ndarray, both: np.ndarray, percent: int) -> np.ndarray:
+    return (100 * both >= percent * (sizes_a[:, None] + sizes_b[None, :] - both)) & (both > 0)
+
+
+def _by_cluster(table: pa.Table):
+    """(cluster, reps, sides, shingle sets) of a group's clusters in turn."""
+    cluster, rep, side = (table[c].to_numpy() for c in ("cluster", "rep", "side"))
+    sets = [np.frombuffer(x, U64) for x in table["shingles"].to_pylist()]
+    order = np.argsort(cluster, kind="stable")
+    for own in np.split(order, np.flatnonzero(np.diff(cluster[order])) + 1) if len(order) else ():
+        yield cluster[own[0]], rep[own], side[own], [sets[k] for k in own]
+
+
+def _rows(found: list[tuple[int, int]]) -> pa.Table:
+    return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([x for _, x in found], pa.int64())})
+
+
+def _inside(percent: int):
+    """Links of the members of a block; a loop (a, a) tells of a member that is not tied to its cluster's least class."""
+
+    def run(table: pa.Table) -> pa.Table:
+        found: list[tuple[int, int]] = []
+        for star, reps, _, sets in _by_cluster(table):
+            sizes = np.array([len(s) for s in sets])
+            label = _labels(reps, _linked(sizes, sizes, _shared(sets, sets), percent))
+            found += [(int(r), int(x)) for r, x in zip(reps, label) if r != x]
+            found += [(int(r), int(r)) for r, x in zip(reps, label) if x != star]
+        return _rows(found)
+
+    return run
+
+
+def _across(percent: int):
+    """Links between the members that are left (side 0) and another block (side 1)."""
 
     def run(table: pa.Table) -> pa.Table:
         found: list[tuple[int, int]] = []
-        cluster, reps, block = (table[c].to_numpy() for c in ("cluster", "rep", "block"))
-        sets = [np.frombuffer(x, U64) for x in table["shingles"].to_pylist()]
-        i, j = (table[c][0].as_py() for c in ("i", "j")) if len(table) else (0, 0)
-        order = np.argsort(cluster, kind="stable")
-        for own in np.split(order, np.flatnonzero(np.diff(cluster[order])) + 1) if len(order) else ():
-            if len(own) > 1:
-                found += links(reps[own], [sets[k] for k in own], block[own], i, j)
-        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([x for _, x in found], pa.int64())})
+        for _, reps, side, sets in _by_cluster(table):
+            a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+            if len(a) and len(b):
+                left, right = [sets[k] for k in a], [sets[k] for k in b]
+                linked = _linked(np.array([len(s) for s in left]), np.array([len(s) for s in right]), _shared(left, right), percent)
+                linked &= reps[a][:, None] != reps[b][None, :]
+                square = np.zeros((len(reps), len(reps)), bool)
+                square[np.ix_(a, b)] = linked
+                label = _labels(reps, square | square.T)
+                found += [(int(r), int(x)) for r, x in zip(reps, label) if r != x]
+        return _rows(found)
 
     return run
 
 
+def _blocks() -> Column:
+    """How many blocks the classes of a group fill."""
+    return F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int")
+
+
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """Rows (id, n_shingles, component_id, kept) for every row of docs.
 
@@ -178,20 +207,9 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     classes = cut(named.groupBy("high", "low", "n").agg(F.min("id").alias("rep"), F.max("signature").alias("signature")))
 
     index = classes.select("rep", "signature").mapInArrow(_index, "rep long, key long")
-    edges = index.withColumn("least", F.min("rep").over(Window.partitionBy("key"))).where("least <> rep").select(F.col("rep").alias("a"), F.col("least").alias("b"))
-    clusters = components(edges).withColumnsRenamed({"node": "rep", "component": "cluster"})
-    sized = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    clusters = cut(clusters.join(sized, "cluster")).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-
-    members = rows.join(clusters, rows["id"] == clusters["rep"]).select("rep", "cluster", "blocks", "block", "text")
-    members = members.mapInArrow(_sets(shingle), "rep long, cluster long, blocks int, block int, shingles binary")
-    small = F.col("blocks") == 1
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(x, "block").alias("i"), F.greatest(x, "block").alias("j")))
-    dealt = members.withColumn("pair", F.explode(pairs)).select(
-        F.when(small, F.pmod(F.xxhash64("cluster"), F.lit(16 * parts))).otherwise(F.col("cluster")).alias("bin"),
-        F.when(small, 0).otherwise(1).alias("large"), "pair.i", "pair.j", "rep", "cluster", "block", "shingles",
-    )
-    links = dealt.groupBy("bin", "large", "i", "j").applyInArrow(_verify(percent), "a long, b long")
+    met = cut(index.groupBy("key").agg(F.min("rep").alias("least"), F.count("*").alias("n")).where("n > 1"))
+    edges = spread_join(index, met, "key", "rep", SYMBOLS * classes.count()).select(F.col("rep").alias("a"), F.col("least").alias("b"))
+    links = _links(rows, classes, components(edges).withColumnsRenamed({"node": "rep", "component": "cluster"}), shingle, percent)
 
     joined = components(links).withColumnsRenamed({"node": "rep"})
     known = classes.select("high", "low", "n", "rep").join(joined, "rep", "left").select("high", "low", "n", F.coalesce("component", "rep").alias("component"))
@@ -200,6 +218,41 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     return out.select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(False)).alias("kept"))
 
 
+def _links(rows: DataFrame, classes: DataFrame, clusters: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Links (a, b) of classes that span the groups inside each cluster."""
+    parts = partitions(rows.sparkSession)
+    clusters = cut(clusters.join(classes.select("rep", "n"), "rep"))
+    sized = clusters.groupBy("cluster").agg(_blocks().alias("blocks"), F.count("*").alias("members")).withColumnRenamed("members", "n")
+    clusters = cut(spread_join(clusters.withColumnRenamed("n", "size"), sized, "cluster", "rep", clusters.count()))
+    clusters = clusters.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+
+    def sets(members: DataFrame, columns: dict[str, str]) -> DataFrame:
+        texts = rows.join(members, rows["id"] == members["rep"]).select("rep", "cluster", *columns, "text")
+        shape = ", ".join(f"{name} {kind}" for name, kind in ({"rep": "long", "cluster": "long"} | columns).items())
+        return texts.mapInArrow(_sets(shingle, ["rep", "cluster", *columns]), f"{shape}, shingles binary")
+
+    # The least class of a cluster goes to each of its blocks, any other class to its own.
+    at = F.when(F.col("rep") == F.col("cluster"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
+    dealt = sets(clusters, {"blocks": "int", "block": "int"}).withColumn("block", F.explode(at))
+    small = F.col("blocks") == 1
+    dealt = dealt.select(
+        F.when(small, F.pmod(F.xxhash64("cluster"), F.lit(16 * parts))).otherwise(F.col("cluster")).alias("bin"),
+        F.when(small, -1).otherwise(F.col("block")).alias("at"), "rep", "cluster", F.lit(0).alias("side"), "shingles",
+    )
+    links = cut(dealt.groupBy("bin", "at").applyInArrow(_inside(percent), "a long, b long"))
+    left = links.where("a = b").select(F.col("a").alias("rep")).distinct().join(clusters.where("blocks > 1").select("rep", "cluster", "blocks", F.col("size").alias("n")), "rep")
+    left = cut(left)
+    if left.isEmpty():
+        return links
+    lots = left.groupBy("cluster").agg(_blocks().alias("lots"))
+    left = left.join(lots, "cluster").withColumn("lot", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("lots")).cast("int"))
+    own = left.select("rep", "cluster", F.lit(0).alias("side"), F.array("lot").alias("lots"), F.sequence(F.lit(0), F.col("blocks") - 1).alias("at"))
+    other = clusters.where("blocks > 1").join(lots, "cluster").select("rep", "cluster", F.lit(1).alias("side"), F.sequence(F.lit(0), F.col("lots") - 1).alias("lots"), F.array("block").alias("at"))
+    kinds = {"side": "int", "lots": "array<int>", "at": "array<int>"}
+    dealt = sets(own.unionByName(other), kinds).withColumn("lot", F.explode("lots")).withColumn("at", F.explode("at"))
+    return links.union(dealt.select("cluster", "lot", "at", "rep", "side", "shingles").groupBy("cluster", "lot", "at").applyInArrow(_across(percent), "a long, b long"))
+
+
 def one_of_each_group(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
     """The rows of docs but for those that link to a smaller id; rows without an id stay. All columns stay."""
     found = near_duplicates(docs, id_column, text_column, **options)

@@ -34,7 +34,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     """(word buckets in order of row, range of them that each row owns, statistics by row)."""
     rows = len(offsets) - 1
     words = B.Words(data, offsets, lower=True)
-    bucket = (words.hashes() >> U64(64 - WORD_BITS)).astype(np.int64)
+    bucket = (words.digests() >> U64(64 - WORD_BITS)).astype(np.int64)
     owned = np.unique(words.row_of_word() << WORD_BITS | bucket)
     own = np.searchsorted(owned >> WORD_BITS, np.arange(rows + 1))
 
@@ -158,15 +158,20 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(self.line[0] * z + self.line[1], -30, 30)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "quality") -> Machine:
-    """Learns from labelled rows that are not held out, at most SAMPLE_ROWS of them by a hash of the id."""
+def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "quality", sample_rows: int = SAMPLE_ROWS) -> Machine:
+    """Learns from labelled rows that are not held out, at most sample_rows of them by a hash of the id.
+
+    An id counts once, however often docs or labels repeat it, with its first text and, of
+    that, its first label in order. Ids without a text in docs, and null labels, are left out.
+    """
     known = labels.where(F.col(label_column).isNotNull() & F.col(id_column).isNotNull() & ~held_out(id_column))
     known = known.select(F.col(id_column).alias("id"), (F.col(label_column) > 0).cast("int").alias("quality"), F.xxhash64(id_column).alias("at"))
     n = known.count()
-    few = known.where(F.pmod("at", F.lit(1 << 20)) < min(1.0, (1.3 * SAMPLE_ROWS + 100) / max(n, 1)) * (1 << 20))
-    few = few.orderBy("at", "id").limit(SAMPLE_ROWS)
+    few = known.where(F.pmod("at", F.lit(1 << 20)) < min(1.0, (1.3 * sample_rows + 100) / max(n, 1)) * (1 << 20))
+    few = few.orderBy("at", "id").limit(sample_rows)
     rows = docs.select(F.col(id_column).alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
-    rows = rows.join(F.broadcast(few), "id").select("quality", (F.pmod("at", F.lit(5)) == 0).alias("part"), "text")
+    rows = rows.join(F.broadcast(few), "id").groupBy("id").agg(F.min(F.struct("text", "quality", "at")).alias("r")).select("r.*")
+    rows = rows.select("quality", (F.pmod("at", F.lit(5)) == 0).alias("part"), "text")
     got = rows.mapInArrow(_sample_features, "quality int, part boolean, bucket array<int>, numbers array<float>").toArrow().to_pylist()
     return Machine([(np.array(r["bucket"], np.int64), np.array(r["numbers"], np.float32), r["quality"], r["part"]) for r in got])
 

@@ -1,29 +1,22 @@
-"""Small helpers that the corpus operators share: sizes, checkpoints and connected components."""
+"""Small helpers that the corpus operators share: sizes, joins that spread hot keys, connected components."""
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.storage import cut, shared_folder
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+__all__ = ["components", "cut", "partitions", "shared_folder", "spread_join", "text_bytes"]
 
+#: Rounds after which components() gives up; each round at least halves the stars' depth.
+ROUNDS = 200
+#: Rows that one task joins without trouble: tables of no more are joined as they are.
+ONE_TASK = 1 << 17
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder for checkpoints and written tables: the one the session names, else, as in local tests, one of its own."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
-    return spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
 
-
-def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+def partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def text_bytes(df: DataFrame, column: str) -> int:
@@ -31,24 +24,41 @@ def text_bytes(df: DataFrame, column: str) -> int:
     return int(df.agg(F.sum(F.octet_length(column)).alias("n")).first()["n"] or 0)
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def spread_join(rows: DataFrame, facts: DataFrame, key: str, spread: str, total: int) -> DataFrame:
+    """Joins rows with facts, which has one row a key and, as ``n``, how many of the total rows the key has.
+
+    A key with more than a fourth of a task's fair share of the rows is split into pieces by
+    a hash of ``spread``. Such keys number at most four times the partitions, so they may be
+    broadcast whatever the tables' size.
+    """
+    if total <= ONE_TASK:
+        return rows.join(facts.drop("n"), key)
+    share = -(-total // (4 * partitions(rows.sparkSession)))
+    pieces = F.ceil(F.col("n") / share).cast("int")
+    hot = facts.where(F.col("n") > share).select(key, pieces.alias("__pieces"))
+    left = rows.join(F.broadcast(hot), key, "left").withColumn("__piece", F.pmod(F.xxhash64(spread), F.coalesce("__pieces", F.lit(1))).cast("int")).drop("__pieces")
+    right = facts.withColumn("__piece", F.explode(F.sequence(F.lit(0), F.greatest(pieces, F.lit(1)) - 1))).drop("n")
+    return left.join(right, [key, "__piece"]).drop("__piece")
+
+
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (a, b): rows (node, component), component the least node.
 
     Alternates the large-star and small-star steps, each a grouped minimum that is joined
-    back, so no vertex's neighbours meet in one task's memory and a hub's rows may be
-    split. Nodes without an edge do not appear.
+    back with hubs split over tasks, until nothing changes; raises if ROUNDS do not do.
+    Nodes without an edge do not appear, and a null or a loop is no edge.
     """
     edges = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    state = None
-    for _ in range(rounds):
+    state, total = None, edges.count()
+    for _ in range(ROUNDS):
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("e"))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
+        large = spread_join(both, least, "a", "b", 2 * total).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        small = spread_join(large, least, "a", "b", 2 * total).select(F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("e"))
         edges = cut(small.select(F.col("e.b").alias("a"), F.col("e.m").alias("b")).where("a <> b").distinct())
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.count_if(F.col("b") > F.col("a"))).first()
+        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == state:
-            break
-        state = now
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select("b", "b").distinct())
+            return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select("b", "b").distinct())
+        state, total = now, now[0]
+    raise RuntimeError(f"components did not settle in {ROUNDS} rounds")
