@@ -2,16 +2,19 @@
 
 A page is cut into blocks; its elements say which blocks are chrome (menus, headers,
 adverts, forms, comments and the like) and which stand in the page's article. Pages are
-then taken by lots: the token streams of their visible blocks are concatenated, suffixes
-sorted to the depth that matters, and each lot tells its distinct stretches by host with
-the pages that hold them. These are summed over all lots, so a stretch is repeated when
-several distinct pages of its host hold it, wherever they are read. Covered stretches are removed as boilerplate, inside articles too, and unique runs
-kept. The structure guards this: a marked article that repeats as a whole is kept, and
-marked chrome goes even where it is unique.
-
-Stretches travel as 64-bit fingerprints, packed by ranges of their value; the repeated ones
-go back to the groups that the pages are dealt to. A lot and a group are bounded; a range
-holds one entry of a stretch for every lot and group that has it.
+then dealt to groups of bounded size. A group concatenates the token streams of its pages'
+visible blocks and sorts their suffixes to the depth that matters; it tells its distinct
+stretches by host, with the pages that hold them. These are summed over all groups, so a
+stretch is repeated when several distinct pages of its host hold it, wherever they are.
+Covered stretches are removed as boilerplate, inside articles too, and unique runs kept.
+The structure guards this: a marked article that repeats as a whole is kept, and marked
+chrome goes even where it is unique.
+
+Most stretches are unique, and few of them travel. Each stretch holds the runs of ANCHOR
+words inside it; the one with the least digest stands for it, on every page alike. These
+anchors are counted first, under short digests, which may count too many but never too
+few; only stretches over a repeated anchor are then counted under full digests. Digests are
+packed by ranges of their value; a range holds one entry of a stretch for each group.
 """
 
 from __future__ import annotations
@@ -29,11 +32,15 @@ from pyspark.sql import functions as F
 from tidemark.llm.bytescan import U64, Words, binary, mix
 from tidemark.llm.shared import partitions, text_bytes
 
-#: Tokens of a repeated stretch, and the distinct pages of a host that must hold it.
-RUN, PAGES = 8, 3
-LOT_BYTES, LOT_PAGES = 2 << 20, 512
-#: Bytes of html behind a group of pages, a range of fingerprints and a task.
-GROUP_BYTES, RANGE_BYTES, TASK_BYTES = 4 << 20, 8 << 20, 64 << 20
+#: Tokens of a repeated stretch and of an anchor, and the distinct pages of a host that must hold a stretch.
+RUN, ANCHOR, PAGES = 8, 5, 3
+#: Bytes of html and pages that are parsed at once; bytes behind a group of pages, a range of digests and a task.
+LOT_BYTES, LOT_PAGES = 8 << 20, 4096
+GROUP_BYTES, RANGE_BYTES, TASK_BYTES = 8 << 20, 8 << 20, 64 << 20
+#: Bits of an anchor's short digest beyond those that number the bytes of the table.
+SPARE_BITS = 8
+#: Stands between the texts of pages; no text holds it, as it counts as white space.
+SEPARATOR = "\x1f"
 
 # Element names of the HTML standard and the words that sites use in class, id and role.
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -133,23 +140,22 @@ def blocks(source: str) -> list[tuple[int, str]]:
     return [(k, t) for k, t in texts if t]
 
 
-def ranked(streams: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def ranked(ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each token of all streams: its stream, the tokens left in it, and the rank of its suffix to the depth of RUN.
 
-    Suffixes are ranked by doubling prefixes; equal ranks are equal stretches.
+    ids are equal for equal tokens. Suffixes are ranked by doubling prefixes; equal ranks are equal stretches.
     """
-    names: dict[str, int] = {}
-    sizes = np.array([len(s) for s in streams], np.int64)
-    ids = np.fromiter((names.setdefault(t, len(names)) for s in streams for t in s), np.int64, int(sizes.sum()))
-    page = np.repeat(np.arange(len(streams)), sizes)
+    page = np.repeat(np.arange(len(sizes)), sizes)
     left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(ids))
-    rank, depth = ids, 1
+    _, rank = np.unique(ids, return_inverse=True)
+    depth = 1
     while depth < RUN:
+        step = min(depth, RUN - depth)
         follow = np.full(len(rank), -1, np.int64)
-        follow[:-depth or None] = rank[depth:] if depth < len(rank) else -1
-        pair = rank * (int(rank.max(initial=0)) + 2) + np.where(left > depth, follow, -1) + 1
+        follow[:-step] = rank[step:]
+        pair = rank * (int(rank.max(initial=0)) + 2) + np.where(left > step, follow, -1) + 1
         _, rank = np.unique(pair, return_inverse=True)
-        depth *= 2
+        depth += step
     return page, left, rank
 
 
@@ -174,21 +180,13 @@ def covered(sizes: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
 
 def repeated(streams: list[list[str]]) -> list[np.ndarray]:
     """For each token stream of one host, which tokens stand in a stretch of RUN tokens that PAGES or more streams hold."""
-    page, left, rank = ranked(streams)
+    names: dict[str, int] = {}
+    sizes = np.array([len(s) for s in streams], np.int64)
+    page, left, rank = ranked(np.fromiter((names.setdefault(t, len(names)) for s in streams for t in s), np.int64, int(sizes.sum())), sizes)
     first = np.flatnonzero(left >= RUN)
     one, n = tallied(page[first], rank[first])
     found = first[np.isin(rank[first], rank[first][one[n >= PAGES]])]
-    return covered(np.array([len(s) for s in streams], np.int64), found)
-
-
-def fingerprints(texts: list[str], hosts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(words of each text, first words of its stretches, their fingerprints within the text's host)."""
-    column = pa.array(texts, pa.large_string())
-    data = column.buffers()[2]
-    data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
-    words = Words(data, np.frombuffer(column.buffers()[1], np.int64)[: len(texts) + 1])
-    first, h = words.windows(RUN)
-    return words.count, first, mix(h ^ mix(hosts.astype(np.int64).view(U64))[words.row_of_word()[first]])
+    return covered(sizes, found)
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -238,97 +236,130 @@ def _lots(batches, columns: tuple[str, ...], source: str) -> Iterator[list[list]
             yield [c.to_pylist() for c in rows.slice(at).columns]
 
 
-def _told(ranges: int):
-    """Each lot's distinct stretches by host and group, with their pages up to PAGES: rows (range, keys, groups)."""
-
-    def run(batches):
-        for group, host, source in _lots(batches, ("group", "host", "html"), "html"):
-            texts = [" ".join(t for _, t in blocks(s or "")) for s in source]
-            hosts, groups = np.array(host, np.int64), np.array(group, np.int64)
-            _, first, key = fingerprints(texts, hosts)
-            page, _, rank = ranked([t.split(" ") if t else [] for t in texts])
-            page, rank = page[first], rank[first]
-            one, n = tallied(page, groups[page], hosts[page], rank)
-            order = np.argsort(key[one])
-            key, tag = key[one][order], ((groups[page[one]] << 2) | np.minimum(n, PAGES))[order].astype(np.uint32)
-            part = ((key >> U64(40)) * U64(ranges) >> U64(24)).astype(np.int64)
-            cuts = np.flatnonzero(np.diff(part, prepend=-1))
-            ends = [*cuts[1:], len(key)]
-            yield pa.RecordBatch.from_pydict({
-                "range": pa.array(part[cuts], pa.int32()),
-                "keys": binary([_planes(np.diff(key[i:j], prepend=U64(0))) for i, j in zip(cuts, ends)]),
-                "groups": binary([_planes(tag[i:j]) for i, j in zip(cuts, ends)]),
-            })
-
-    return run
-
-
-def _repeats(batches):
-    """Rows (group, keys) of the stretches that PAGES or more pages hold; rows of a range come together."""
-
-    def settled(keys, groups):
-        key, tag = np.concatenate(keys), np.concatenate(groups)
+class Group:
+    """The parsed pages of a group, their words, and digests of runs of words within a page and its host."""
+
+    def __init__(self, rows: pa.Table):
+        self.ids, self.urls, self.hosts, self.standings = (sum(rows[c].to_pylist(), []) for c in ("ids", "urls", "hosts", "standings"))
+        bodies = [pa.decompress(b, n, codec="zstd").to_pybytes() for b, n in zip(rows["body"].to_pylist(), rows["size"].to_pylist())]
+        self.texts = [t for b in bodies for t in b.split(SEPARATOR.encode())]
+        offsets = np.append(0, np.cumsum([len(t) for t in self.texts])).astype(np.int64)
+        self.words = Words(np.frombuffer(b"".join(self.texts), np.uint8), offsets)
+        self.page = self.words.row_of_word()
+        self.host = mix(np.array(self.hosts, np.int64).view(U64))[self.page]
+
+    def runs(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """(first words of the runs of n, their digests within the host)."""
+        first, h = self.words.windows(n)
+        return first, mix(h ^ self.host[first])
+
+    def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first words of the stretches, for each the place of its anchor, digests of the runs of ANCHOR by first word)."""
+        at, h = self.runs(ANCHOR)
+        digest = np.full(len(self.page) + RUN, ~U64(0))
+        digest[at] = h
+        first = self.words.windows(RUN)[0]
+        near = np.stack([digest[first + k] for k in range(RUN - ANCHOR + 1)])
+        return first, first + near.argmin(0), digest
+
+
+def _told(group: int, part: np.ndarray, key: np.ndarray, n: np.ndarray) -> pa.Table:
+    """Rows (range, group, keys, pages): digests in order, with the pages up to PAGES that hold them."""
+    cuts = np.flatnonzero(np.diff(part, prepend=-1))
+    ends = [*cuts[1:], len(key)]
+    return pa.table({
+        "range": pa.array(part[cuts], pa.int32()), "group": pa.array(np.full(len(cuts), group), pa.int32()),
+        "keys": binary([_planes(np.diff(key[i:j], prepend=U64(0))) for i, j in zip(cuts, ends)]),
+        "pages": binary([np.minimum(n[i:j], PAGES).astype(np.uint8).tobytes() for i, j in zip(cuts, ends)]),
+    })
+
+
+TOLD = "range int, group int, keys binary, pages binary"
+
+
+def _tell_anchors(bits: int, ranges: int):
+    def tell(rows: pa.Table) -> pa.Table:
+        group = Group(rows)
+        _, place, digest = group.anchors()
+        place = np.unique(place)
+        key = digest[place] >> U64(64 - bits)
+        one, n = tallied(group.page[place], key)
+        key = key[one]
+        return _told(rows["group"][0].as_py(), ((key >> U64(bits - 24)) * U64(ranges) >> U64(24)).astype(np.int64), key, n)
+
+    return tell
+
+
+def _known(found: pa.Table) -> np.ndarray:
+    return np.sort(np.concatenate([np.zeros(0, U64), *(np.cumsum(_numbers(k, U64), dtype=U64) for k in found["keys"].to_pylist())]))
+
+
+def _within(known: np.ndarray, x: np.ndarray) -> np.ndarray:
+    return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x if len(known) else np.zeros(len(x), bool)
+
+
+def _tell_stretches(bits: int, ranges: int):
+    """The stretches over anchors that are known to repeat."""
+
+    def tell(rows: pa.Table, found: pa.Table) -> pa.Table:
+        known, group = _known(found), Group(rows)
+        first, place, digest = group.anchors()
+        first = first[_within(known, digest[place] >> U64(64 - bits))]
+        page, _, rank = ranked(group.words.digests(), group.words.count)
+        one, n = tallied(page[first], group.host[first], rank[first])
+        at, h = group.runs(RUN)
+        key = h[np.searchsorted(at, first[one])]
         order = np.argsort(key)
-        key, tag = key[order], tag[order]
-        start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        n = np.add.reduceat((tag & 3).astype(np.int64), start)
-        found = np.repeat(n >= PAGES, np.diff(np.append(start, len(key))))
-        key, group = key[found], tag[found] >> 2
-        order = np.argsort(group, kind="stable")
-        key, group = key[order], group[order]
-        cuts = np.flatnonzero(np.diff(group.astype(np.int64), prepend=-1))
-        return pa.RecordBatch.from_pydict({"group": pa.array(group[cuts], pa.int32()), "keys": binary([key[i:j].tobytes() for i, j in zip(cuts, [*cuts[1:], len(key)])])})
-
-    at, keys, groups = None, [], []
-    for batch in batches:
-        for part, k, g in zip(*(batch[c].to_pylist() for c in ("range", "keys", "groups"))):
-            if part != at and keys:
-                yield settled(keys, groups)
-                keys, groups = [], []
-            at = part
-            keys.append(np.cumsum(_numbers(k, U64), dtype=U64))
-            groups.append(_numbers(g, np.uint32))
-    if keys:
-        yield settled(keys, groups)
+        key = key[order]
+        return _told(rows["group"][0].as_py() if len(rows) else 0, ((key >> U64(40)) * U64(ranges) >> U64(24)).astype(np.int64), key, n[order])
+
+    return tell
+
+
+def _settled(told: pa.Table) -> pa.Table:
+    """Rows (group, keys): for each group, its digests that PAGES or more pages of all groups hold."""
+    keys = [np.cumsum(_numbers(k, U64), dtype=U64) for k in told["keys"].to_pylist()]
+    key, n = np.concatenate(keys), np.frombuffer(b"".join(told["pages"].to_pylist()), np.uint8).astype(np.int64)
+    order = np.argsort(key, kind="stable")
+    start = np.flatnonzero(np.append(True, np.diff(key[order]) != 0))
+    good = np.zeros(len(key), bool)
+    good[order] = np.repeat(np.add.reduceat(n[order], start) >= PAGES, np.diff(np.append(start, len(key))))
+    ends = np.cumsum([len(k) for k in keys])
+    replies = [(g, key[i:j][good[i:j]]) for g, i, j in zip(told["group"].to_pylist(), np.append(0, ends[:-1]), ends) if good[i:j].any()]
+    return pa.table({"group": pa.array([g for g, _ in replies], pa.int32()), "keys": binary([_planes(np.diff(k, prepend=U64(0))) for _, k in replies])})
+
+
+def _left(rows: pa.Table, found: pa.Table) -> pa.Table:
+    """Main texts of a group's pages."""
+    group, known = Group(rows), _known(found)
+    first, h = group.runs(RUN)
+    gone = covered(group.words.count, first[_within(known, h)])
+    texts = [t.decode("utf-8", "surrogatepass") for t in group.texts]
+    out = [main_text([*zip(s, t.split("\n"))] if t else [], g) for s, t, g in zip(group.standings, texts, gone)]
+    return pa.table({
+        "id": pa.array(group.ids, pa.int64()), "url": pa.array(group.urls, pa.string()),
+        "text": pa.array(out, pa.string()), "n_chars": pa.array([len(t) for t in out], pa.int64()),
+    })
+
+
+PARSED = "group int, ids array<long>, urls array<string>, hosts array<long>, standings array<binary>, size long, body binary"
 
 
 def _parsed(batches):
-    """Pages as their blocks: one line for each in text, one byte for its standing."""
+    """The pages of a lot by group: texts with one line a block, compressed together, and one byte a block for its standing."""
     for group, key, url, host, source in _lots(batches, ("group", "id", "url", "host", "html"), "html"):
         pages = [blocks(s or "") for s in source]
+        order = np.argsort(np.array(group), kind="stable")
+        own = [x.tolist() for x in np.split(order, np.flatnonzero(np.diff(np.array(group)[order])) + 1)]
+        bodies = [SEPARATOR.join("\n".join(t for _, t in pages[k]) for k in at).encode("utf-8", "surrogatepass") for at in own]
         yield pa.RecordBatch.from_pydict({
-            "group": pa.array(group, pa.int32()), "keys": pa.nulls(len(pages), pa.binary()), "id": pa.array(key, pa.int64()), "url": pa.array(url, pa.string()), "host": pa.array(host, pa.int64()),
-            "standing": binary([bytes(k for k, _ in p) for p in pages]), "text": pa.array(["\n".join(t for _, t in p) for p in pages], pa.string()),
+            "group": pa.array([group[at[0]] for at in own], pa.int32()), "ids": pa.array([[key[k] for k in at] for at in own], pa.list_(pa.int64())),
+            "urls": pa.array([[url[k] for k in at] for at in own], pa.list_(pa.string())), "hosts": pa.array([[host[k] for k in at] for at in own], pa.list_(pa.int64())),
+            "standings": pa.array([[bytes(s for s, _ in pages[k]) for k in at] for at in own], pa.list_(pa.binary())),
+            "size": pa.array([len(b) for b in bodies], pa.int64()), "body": binary([pa.compress(b, codec="zstd", asbytes=True) for b in bodies]),
         })
 
 
-def _left(batches):
-    """Main texts of parsed pages; in each group, rows with the repeated stretches stand before the pages."""
-    at, keys, known = None, [], np.zeros(0, U64)
-    for group, packed, key, url, host, standing, text in _lots(batches, ("group", "keys", "id", "url", "host", "standing", "text"), "text"):
-        k = 0
-        while k < len(group):
-            if group[k] != at:
-                at, keys, known = group[k], [], np.zeros(0, U64)
-            if packed[k] is not None:
-                keys.append(np.frombuffer(packed[k], U64))
-                k += 1
-                continue
-            if keys:
-                known, keys = np.unique(np.concatenate(keys)), []
-            end = k
-            while end < len(group) and group[end] == at:
-                end += 1
-            sizes, first, own = fingerprints(text[k:end], np.array(host[k:end], np.int64))
-            gone = covered(sizes, first[np.isin(own, known)])
-            out = [main_text([*zip(s, t.split("\n"))] if t else [], g) for s, t, g in zip(standing[k:end], text[k:end], gone)]
-            yield pa.RecordBatch.from_pydict({
-                "id": pa.array(key[k:end], pa.int64()), "url": pa.array(url[k:end], pa.string()),
-                "text": pa.array(out, pa.string()), "n_chars": pa.array([len(t) for t in out], pa.int64()),
-            })
-            k = end
-
-
 def main_texts(pages: DataFrame, id_column: str = "page_id", url_column: str = "url", html_column: str = "html") -> DataFrame:
     """Rows (id, url, text, n_chars) for every row of pages.
 
@@ -343,10 +374,12 @@ def main_texts(pages: DataFrame, id_column: str = "page_id", url_column: str = "
     rows = pages.select(F.col(id_column).cast("long").alias("id"), F.col(url_column).alias("url"), F.xxhash64(host).alias("host"), F.col(html_column).alias("html"))
     size, least = text_bytes(rows, "html"), partitions(spark)
     groups, ranges = max(4 * least, -(-size // GROUP_BYTES)), max(least, -(-size // RANGE_BYTES))
-    tasks = max(least, -(-size // TASK_BYTES))
+    tasks, bits = max(least, -(-size // TASK_BYTES)), min(64, max(32, size.bit_length() + SPARE_BITS))
     rows = rows.withColumn("group", F.pmod(F.xxhash64("id", "url", "html"), F.lit(groups)).cast("int"))
-    told = rows.select("group", "host", "html").mapInArrow(_told(ranges), "range int, keys binary, groups binary")
-    found = told.repartition(tasks, "range").sortWithinPartitions("range").mapInArrow(_repeats, "group int, keys binary")
-    parsed = rows.mapInArrow(_parsed, "group int, keys binary, id long, url string, host long, standing binary, text string")
-    both = parsed.unionByName(found, allowMissingColumns=True).repartition(tasks, "group").sortWithinPartitions("group", F.col("keys").isNull())
-    return both.mapInArrow(_left, "id long, url string, text string, n_chars long").withColumnRenamed("id", id_column)
+    parsed = rows.mapInArrow(_parsed, PARSED).repartition(tasks, "group")
+    shape = "group int, keys binary"
+    anchors = parsed.groupBy("group").applyInArrow(_tell_anchors(bits, ranges), TOLD).groupBy("range").applyInArrow(_settled, shape)
+    told = parsed.groupBy("group").cogroup(anchors.groupBy("group")).applyInArrow(_tell_stretches(bits, ranges), TOLD)
+    found = told.groupBy("range").applyInArrow(_settled, shape)
+    out = parsed.groupBy("group").cogroup(found.groupBy("group")).applyInArrow(_left, "id long, url string, text string, n_chars long")
+    return out.withColumnRenamed("id", id_column)
