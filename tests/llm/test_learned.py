@@ -1,5 +1,6 @@
 """Language, quality and licence models, and main-text extraction: held-out results and edge cases."""
 
+import re
 import zlib
 
 from tidemark.llm import html_text, language_id, license_scan, quality, queries
@@ -37,6 +38,39 @@ def test_language_edges(spark):
     assert {r.lang_pred for r in language_id.identify(docs, None).collect()} == {"und"}
 
 
+def test_every_language_is_learned(spark):
+    rows = [(k, f"word{k % 230}x letters{k % 230}y", f"l{k % 230:03}") for k in range(2300)]
+    model = language_id.fit(table(spark, rows), sample_rows=1000)
+    assert model.names == sorted({g for _, _, g in rows})
+
+
+def test_averages_of_embeddings(spark):
+    import numpy as np
+
+    docs = table(spark, [(k, ("der die das " if k % 2 else "the and of ") + f"w{k}", "de" if k % 2 else "en") for k in range(80)])
+    model = language_id.fit(docs)
+    for text in ("der and das", "x", "the the the of"):
+        raw = f" {''.join(c if c.isalpha() else ' ' for c in text)} ".encode()
+        data = np.frombuffer(text.encode(), np.uint8)
+        grams = np.concatenate([g for g, _ in language_id.subwords(data, np.array([0, len(data)]))])
+        want = sum(b" " not in raw[i + 1 : i + n - 1] and len(raw[i : i + n]) == n for n in (3, 4) for i in range(len(raw)))
+        assert len(grams) == want
+        z = (np.mean([model.table[g] for g in grams], 0) if len(grams) else 0) + model.bias
+        p = np.exp(z / model.heat) / np.exp(z / model.heat).sum()
+        assert np.allclose(model.scores(data, np.array([0, len(data)]))[0], p, atol=1e-5)
+
+
+def test_repeated_rows_of_the_classifiers(spark):
+    docs = table(spark, [(k, "good words in a row ." if k % 2 else "$$ !! buy buy", "en" if k % 2 else "de") for k in range(40)] * 2)
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)] * 2, "doc_id long, quality int")
+    found = {}
+    for r in quality.score(docs, quality.fit(docs, labels)).collect():
+        found.setdefault(r.doc_id, []).append(r.score)
+    assert all(len(v) == 2 and v[0] == v[1] for v in found.values()) and len(found) == 40
+    got = [(r.doc_id, r.lang_pred) for r in language_id.identify(docs, language_id.fit(docs)).collect()]
+    assert len(got) == 80 and len(set(got)) == 40
+
+
 def test_language_ignores_held_out_rows(spark):
     rows = [(k, "aaa bbb", "x") for k in range(40)]
     wrong = [(i, t, "wrong" if zlib.crc32(str(i).encode()) % 5 == 0 else g) for i, t, g in rows]
@@ -111,13 +145,42 @@ def test_wrapped_licences(spark):
     assert got == [(1, 1, "BSD"), (3, 0, "MIT"), (4, 1, "MIT")]
 
 
+def bigrams(text):
+    words = re.findall(license_scan.WORD, text.lower())
+    return {*zip(words, words[1:])}
+
+
+def test_every_notice_has_more_anchors_than_it_may_miss():
+    for text in (t for own in license_scan.NOTICES.values() for t in own):
+        words = re.findall(license_scan.WORD, text.lower())
+        held = [any(a.strip() in f"{x} {y}" for a in license_scan.ANCHORS) for x, y in sorted(bigrams(text))]
+        assert words and sum(held) > (1 - license_scan.CONFIRM) * len(held) - 1e-9, text
+
+
+def test_other_licences_are_unknown(spark):
+    filler = "An ordinary line of words about a river and a town."
+    named = {1: "Licensed under the EUPL, version 1.2.", 2: "Released under the zlib license.", 3: "SPDX-License-Identifier: Zlib", 4: "This work is licensed under the Harbour Public License."}
+    known = {5: ("SPDX-License-Identifier: MIT", "MIT"), 6: ("GPLv3 or later", "GPL")}
+    plain = {7: filler, 8: "She renewed her driving license in the spring.", 9: "He was granted permission to modify the house.", 10: "The software company moved to a new town."}
+    rows = [(i, t, "en") for i, t in (named | {i: t for i, (t, _) in known.items()} | plain).items()] * 2
+    docs = table(spark, rows + [(100 + k, f"{filler} {k}", "en") for k in range(50)])
+    got = sorted((r.doc_id, r.family, r.confirmed) for r in license_scan.scan(docs, license_scan.fit(docs)).collect())
+    want = [(i, "unknown", False) for i in named] + [(i, f, True) for i, (_, f) in known.items()]
+    assert got == sorted(want * 2)
+
+
 def test_licences_of_the_query(spark):
     found = queries.op1_license_scans(spark, FOLDER)
     assert not [x for x in ("Python", "Pandas", "Arrow") if x in found._jdf.queryExecution().toString()]
-    lines = {r.doc_id: r.text for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()}
-    rows = found.where("confirmed").collect()
-    named = {i for i, t in lines.items() if t and any(n.lower() in t.lower() for own in license_scan.NOTICES.values() for n in own)}
-    assert rows and named <= {r.doc_id for r in rows}
+    notices = [(f, bigrams(t)) for f, own in license_scan.NOTICES.items() for t in own]
+    want = set()
+    for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect():
+        for k, line in enumerate(re.split("[\r\n]+", r.text or "")):
+            held = bigrams(line)
+            want |= {(r.doc_id, k, f) for f, own in notices if len(own & held) >= license_scan.CONFIRM * len(own)}
+    rows = found.collect()
+    assert rows and {(r.doc_id, r.paragraph, r.family) for r in rows if r.confirmed} == want
+    assert len(rows) == len({(r.doc_id, r.paragraph) for r in rows}) <= 1.1 * len(want)
 
 
 def test_main_text_on_edges(spark):
@@ -177,6 +240,50 @@ def test_suffix_array_against_windows():
     assert [list(x) for x in html_text.repeated(streams)] == want
 
 
-def test_every_page_of_the_query(spark, folder):
-    rows = queries.op4_html_extraction(spark, folder).collect()
-    assert len(rows) == spark.read.parquet(f"{folder}/pages.parquet").count() and all(r.n_chars == len(r.text) > 0 for r in rows)
+def whole_host_texts(pages):
+    """{page_id: text} by counting the stretches of whole hosts in plain Python."""
+    import numpy as np
+
+    run, parsed, held = html_text.RUN, {}, {}
+    for i, url, source in pages:
+        host = (url or "").split("://", 1)[-1].split("/")[0].split(":")[0].lower() if "://" in (url or "") else ""
+        own = html_text.blocks(source or "")
+        words = [w for _, t in own for w in t.split(" ")]
+        parsed[i] = host, own, words
+        for k in range(len(words) - run + 1):
+            held.setdefault((host, *words[k : k + run]), set()).add(i)
+    out = {}
+    for i, (host, own, words) in parsed.items():
+        gone = np.zeros(len(words), bool)
+        for k in range(len(words) - run + 1):
+            if len(held[(host, *words[k : k + run])]) >= html_text.PAGES:
+                gone[k : k + run] = True
+        out[i] = html_text.main_text(own, gone)
+    return out
+
+
+def test_pages_of_few_words_against_counts(spark):
+    import random
+
+    rng = random.Random(8)
+    pages = []
+    for i in range(60):
+        parts = [" ".join(rng.choice("ab") for _ in range(rng.randrange(24))) for _ in range(rng.randrange(4))]
+        pages.append((i, f"http://h{i % 3}.org/{i}", "".join(f"<{t}>{x}</{t}>" for t, x in zip(("div", "article", "p"), parts))))
+    want = whole_host_texts(pages)
+    for dealt in (1, 7):
+        df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(dealt, "page_id")
+        assert {r.page_id: r.text for r in html_text.main_texts(df).collect()} == want
+    assert len(set(want.values())) > 20
+
+
+def test_repeated_rows_are_pages_of_their_own(spark):
+    pages = [(1, "http://h.org/", "<div>one two three four five six seven eight nine</div>")] * 3
+    assert [r.text for r in html_text.main_texts(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()] == [""] * 3
+
+
+def test_pages_of_the_query(spark):
+    pages = [tuple(r) for r in spark.read.parquet(f"{FOLDER}/pages.parquet").select("page_id", "url", "html").collect()]
+    rows = queries.op4_html_extraction(spark, FOLDER).collect()
+    assert {r.page_id: r.text for r in rows} == whole_host_texts(pages) and len(rows) == len(pages)
+    assert all(r.n_chars == len(r.text) > 0 for r in rows)

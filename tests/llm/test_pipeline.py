@@ -7,6 +7,9 @@ from test_tokens import check_packed
 from tidemark.llm import language_id
 
 
+TEXT = "some words of text here"
+
+
 def test_stages(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     names = [n for n, _ in corpus_pipeline.STAGES]
@@ -41,11 +44,16 @@ def test_stages(spark, folder):
 
 
 def test_stages_on_nulls_and_extra_columns(spark, folder):
-    rows = [(1, None, "en"), (2, "", "en"), (3, None, None), (None, "some words of text here", "en"), (4, "some words of text here", "en"), (4, "some words of text here", "en")]
+    rows = [(1, None, "en"), (2, "", "en"), (3, None, None), (None, TEXT, "en"), (4, TEXT, "en"), (4, TEXT, "en")]
     docs = spark.createDataFrame([(*r, "s", None, 7) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, id long")
+    want = {"language_id": [(4, TEXT), (4, TEXT), (None, TEXT)], "exact_dedup": [(4, TEXT)], "near_dedup": [(4, TEXT)], "decontamination": [(4, TEXT)]}
     for table in (docs, docs.limit(0)):
         at = table
         for name, stage in corpus_pipeline.STAGES:
             at = stage(spark, at, folder)
-            at.collect()
-            assert name == "packing" or at.columns == docs.columns
+            rows = at.collect()
+            if name in want:
+                assert at.columns == docs.columns
+                assert sorted(((r.doc_id, r.text) for r in rows), key=repr) == (want[name] if table is docs else [])
+            else:
+                assert [(r.doc_id, r.piece, r.start, r.offset) for r in rows] == ([(4, 0, 0, 0)] if table is docs else [])

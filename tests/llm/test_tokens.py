@@ -58,10 +58,21 @@ def check_packed(rows, capacity):
     return len(filled)
 
 
-def test_packing_of_the_query(spark, folder):
+def test_packing_of_the_query(spark, folder, library):
     rows = queries.op9_best_fit_packing(spark, folder).collect()
     assert len({(r.doc_id, r.piece) for r in rows}) == len(rows)
     n = check_packed([(r.length, r.sequence_id, r.offset) for r in rows], 2048)
+    by_doc = {}
+    for r in sorted(rows, key=lambda r: r.piece):
+        by_doc.setdefault(r.doc_id, []).append(r)
+    docs = spark.read.parquet(f"{folder}/documents.parquet").collect()
+    assert len(docs) == len(by_doc)
+    for d in docs:
+        ids = [*library.encode(d.text or "", add_special_tokens=False).ids, 0]
+        own = by_doc[d.doc_id]
+        assert [r.start for r in own] == [sum(x.length for x in own[:k]) for k in range(len(own))] and sum(r.length for r in own) == len(ids)
+        assert all(r.length == 2048 for r in own[1:])
+        assert all(r.ids_crc32 == zlib.crc32(b"".join(x.to_bytes(4, "little") for x in ids[r.start : r.start + r.length])) for r in own)
     large = sum(r.length > 1024 for r in rows)
     assert n <= max(large, -(-sum(r.length for r in rows) // 2048)) * 1.02 + 2
 
@@ -88,5 +99,23 @@ def test_packing_ties_nulls_and_none(spark):
     rows = packing.pack(df, capacity=10).collect()
     assert check_packed([(r.length, r.sequence_id, r.offset) for r in rows], 10) == 3 and len(rows) == 5
     assert packing.pack(df.limit(0), capacity=10).count() == 0
+    with pytest.raises(ValueError):
+        packing.pack(spark.createDataFrame([(1, 11), (2, None)], "id long, length long"), capacity=10)
+
+
+def test_packing_with_clashing_columns(spark):
+    names = "id piece row salt own rank before n key sequence_id offset".split()
+    df = spark.createDataFrame([(3, *range(len(names))), (3, *range(len(names))), (7, *[None] * len(names))], "length long, " + ", ".join(f"`{c}` long" for c in names))
+    rows = packing.pack(df, capacity=10).collect()
+    assert check_packed([(r.length, r.sequence_id, r.offset) for r in rows], 10) == 2
+    kept = ["length", *names[:-2]]
+    assert rows[0].__fields__ == [*kept, "sequence_id", "offset"]
+    assert sorted((tuple(r[c] for c in kept) for r in rows), key=repr) == sorted((tuple(r[c] for c in kept) for r in df.collect()), key=repr)
+
+
+def test_counts_of_repeated_rows(spark):
+    docs = spark.createDataFrame([(1, "some words"), (1, "some words"), (None, None)], "doc_id long, text string")
+    got = sorted(map(repr, map(tuple, tokens.count_tokens(docs, PATH).collect())))
+    assert len(got) == 3 and got[0] == got[1] != got[2]
     none = spark.createDataFrame([], "doc_id long, text string")
     assert tokens.count_tokens(none, PATH).count() == tokens.token_pieces(none, PATH).count() == 0

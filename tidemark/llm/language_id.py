@@ -16,12 +16,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import bytescan as B
+from tidemark.llm.shared import cut
 
 UNKNOWN = "und"
 BUCKET_BITS, DIM = 14, 8
-#: The sample's bound: labelled rows of one language, and languages, the most frequent first.
-ROWS_PER_LANGUAGE, LANGUAGES = 500, 200
+#: The sample's bounds, parameters of fit(): labelled rows of one language and of all, but at least MIN_ROWS of each language.
+ROWS_PER_LANGUAGE, SAMPLE_ROWS, MIN_ROWS = 500, 100_000, 5
 EPOCHS, STEP, BATCH = 12, 0.5, 32
+#: Rows of the sample that are scored at once.
+SCORED = 512
 #: Rejection stays under this score, however the sample scores.
 HIGHEST_BOUND = 0.4
 
@@ -99,8 +102,8 @@ class Model:
         self.heat, self.bound = 1.0, 0.0
         kept = [r for r in rows if r[3]]
         if kept and len(names) > 1:
-            x, y = self._dense(kept)
-            logits = x @ self.table + bias
+            logits = np.concatenate([self._dense(kept[k : k + SCORED])[0] @ self.table + bias for k in range(0, len(kept), SCORED)])
+            y = np.array([r[2] for r in kept])
             heats = np.geomspace(0.25, 8, 41)
             losses = [-np.log(self._softmax(logits / t)[np.arange(len(y)), y] + 1e-9).mean() for t in heats]
             self.heat = float(heats[int(np.argmin(losses))])
@@ -130,20 +133,29 @@ class Model:
         return self._softmax((total / np.maximum(n, 1)[:, None] + self.bias) / self.heat)
 
 
-def fit(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang") -> Model | None:
-    """Learns from rows that are not held out and have a language; None if there are none."""
+def fit(
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", rows_per_language: int = ROWS_PER_LANGUAGE, sample_rows: int = SAMPLE_ROWS
+) -> Model | None:
+    """Learns from rows that are not held out and have a language and a text; None if there are none.
+
+    Every language of the table is learned. The sample holds at most rows_per_language rows
+    of each, and fewer where these would exceed sample_rows together, by a hash of the id;
+    rows of one id are ordered by their text, and repeated rows count each.
+    """
     rows = docs.where(~held_out(id_column) & F.col(lang_column).isNotNull() & F.col(text_column).isNotNull())
     rows = rows.select(F.xxhash64(id_column).alias("at"), F.col(id_column).alias("id"), F.col(lang_column).alias("lang"), F.col(text_column).alias("text"))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    if not counts:
+    counts = cut(rows.groupBy("lang").agg(F.count("*").alias("n")))
+    names = sorted(r["lang"] for r in counts.select("lang").collect())
+    if not names:
         return None
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, 1.3 * ROWS_PER_LANGUAGE / r["count"] + 100 / r["count"]))])
-    few = rows.where(F.pmod("at", F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
-    place = F.row_number().over(Window.partitionBy("lang").orderBy("at", "id"))
-    few = few.withColumn("place", place).where(F.col("place") <= ROWS_PER_LANGUAGE)
+    most = max(MIN_ROWS, min(rows_per_language, sample_rows // len(names)))
+    share = F.least(F.lit(1.0), (1.3 * most + 100) / F.col("n"))
+    # One row a language, as the model itself has; a first cut by hash keeps the groups that are ordered small.
+    few = rows.join(F.broadcast(counts), "lang").where(F.pmod("at", F.lit(1 << 20)) < share * (1 << 20))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("at", "id", "text"))
+    few = few.withColumn("place", place).where(F.col("place") <= most)
     few = few.select("lang", "text", (F.col("place") % 5 == 0).alias("part"))
     got = few.mapInArrow(_features, "lang string, part boolean, bucket array<int>, count array<float>").toArrow().to_pylist()
-    names = sorted(r["lang"] for r in counts)
     at = {x: k for k, x in enumerate(names)}
     return Model(names, [(np.array(r["bucket"], np.int64), np.array(r["count"], np.float32), at[r["lang"]], r["part"]) for r in got])
 
@@ -191,7 +203,11 @@ def identify(docs: DataFrame, model: Model | None, id_column: str = "doc_id", te
 
 
 def keep_identified(docs: DataFrame, model: Model | None, text_column: str = "text") -> DataFrame:
-    """The rows of docs that the model does not reject, with all their columns."""
+    """The rows of docs that identify() does not reject, with all their columns, whatever their names.
+
+    A null text, one without letters, and any text if nothing was learned, is rejected;
+    repeated rows stay or go together; null ids do not matter; an empty table stays empty.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_column)
 

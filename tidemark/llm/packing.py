@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm.shared import cut, partitions
 
@@ -99,18 +100,23 @@ def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     """Adds sequence_id and offset to pieces that have a long ``length`` from 1 to capacity.
 
     Each sequence is filled without gaps from offset 0. Pieces of one length are alike to
-    the plan, so ties are settled by row; null ids are carried; no pieces give no rows.
+    the plan, so ties are settled by row, and repeated rows each have a place; null ids are
+    carried; no pieces give no rows. Any other columns, whatever their names, come out as
+    they are; columns named sequence_id or offset are replaced. A length that is null or
+    outside 1 to capacity has no place in any sequence and raises.
     """
     spark = pieces.sparkSession
-    names = pieces.columns
-    rows = cut(pieces.withColumn("row", F.monotonically_increasing_id()))
-    counts = {r["length"]: r["count"] for r in rows.groupBy("length").count().collect()}
+    names = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
+    rows = cut(pieces.select(F.struct(*names).alias("piece"), F.col("length").cast("long").alias("length"), F.monotonically_increasing_id().alias("row")))
+    counts = {r["length"]: r["count"] for r in rows.groupBy(F.when(F.col("length").between(1, capacity), F.col("length")).alias("length")).count().collect()}
+    if None in counts:
+        raise ValueError(f"{counts[None]} pieces have no length from 1 to {capacity}")
     shared = spark.sparkContext.broadcast(Places(plan(counts, capacity)))
 
     def run(batches):
         for batch in batches:
             sequence, offset = shared.value.find(np.asarray(batch["length"]), np.asarray(batch["rank"]))
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in names), pa.array(sequence, pa.int64()), pa.array(offset, pa.int64())], [*names, "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays([batch["piece"], pa.array(sequence, pa.int64()), pa.array(offset, pa.int64())], ["piece", "sequence_id", "offset"])
 
-    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
-    return ranked(rows).select(*names, "rank").mapInArrow(run, f"{out}, sequence_id long, offset long")
+    out = T.StructType([T.StructField("piece", rows.schema["piece"].dataType), T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
+    return ranked(rows).select("piece", "length", "rank").mapInArrow(run, out).select("piece.*", "sequence_id", "offset")

@@ -187,6 +187,9 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = 2048, end: in
     """Rows (id, piece, start, length, ids_crc32): each text's ids and ``end``, cut where longer than capacity.
 
     Only longer documents are cut, into pieces of full capacity but for a shorter first.
+    A null or empty text is one piece, of ``end`` alone; null and repeated ids are carried,
+    a row's pieces each; texts are encoded whole; an empty table gives no rows; other
+    columns are ignored.
     """
     rows = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
     last = np.array([end], "<u4").tobytes()
