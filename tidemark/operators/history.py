@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.storage import cut
+
 
 def latest(rows: DataFrame, keys: list[str], *order: str) -> DataFrame:
     """The newest row of each key; a grouped maximum, so copies combine before the shuffle."""
@@ -46,3 +48,24 @@ def collisions(left: DataFrame, right: DataFrame, key: str, digest: str) -> Data
     a, b = left.select(key, F.col(digest).alias("__a")), right.select(key, F.col(digest).alias("__b"))
     state = F.when(F.col("__a").isNull(), "added").when(F.col("__b").isNull(), "removed").when(F.col("__a") == F.col("__b"), "same").otherwise("changed")
     return a.join(b, key, "full").select(key, state.alias("state"))
+
+
+def lineage(rows: DataFrame, key: str, parent: str, most: int) -> DataFrame:
+    """Rows (key, depth): the steps from each row to its root, a row without a parent among the keys.
+
+    The depth is null for rows that reach no root in ``most`` steps, as those on a cycle.
+    Every round doubles the steps that all open rows have taken; rows at a root leave the
+    joins, so that a root with many descendants does not gather them. Keys are unique.
+    """
+    known = rows.select(F.col(key).alias("at")).distinct()
+    step = rows.select(F.col(key).alias("k"), F.col(parent).alias("at")).join(known, "at", "left_semi").withColumn("steps", F.lit(1).cast("bigint"))
+    roots = rows.select(F.col(key).alias("k")).join(step.select("k"), "k", "left_anti").withColumn("depth", F.lit(0).cast("bigint"))
+    done, open_ = cut(roots), cut(step)
+    for _ in range(most.bit_length()):
+        ended = open_.join(done.select(F.col("k").alias("at"), F.col("depth").alias("rest")), "at")
+        done_now = ended.select("k", (F.col("steps") + F.col("rest")).alias("depth"))
+        onward = open_.select(F.col("k").alias("at"), F.col("at").alias("next"), F.col("steps").alias("more"))
+        rest = open_.join(done.select(F.col("k").alias("at")), "at", "left_anti").join(onward, "at").select("k", F.col("next").alias("at"), (F.col("steps") + F.col("more")).alias("steps"))
+        done, open_ = cut(done.union(done_now)), cut(rest)
+    found = done.where(F.col("depth") <= most)
+    return rows.select(F.col(key).alias("k")).join(found, "k", "left").select(F.col("k").alias(key), "depth")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as X
 from tidemark.operators import facets as A
+from tidemark.storage import cut
 
 # Fixed values of the phrase rules: sample and clip sizes, supports and shares.
 SAMPLE, PER_SITE, CLIP, KEPT = 100, 8, 12_000, 40
@@ -33,6 +34,19 @@ def boilerplate(lines: DataFrame) -> DataFrame:
     return in_site.select("line").union(overall.select("line")).distinct()
 
 
+def frequent(rows: DataFrame, page: str, site: str, text: str, n: int, least: int) -> DataFrame:
+    """Phrases (phrase, pages, sites, most) of n words that at least so many pages hold; most is of one site.
+
+    Most phrases are rare: they are counted by their hashes, and only the phrases of
+    frequent hashes are shuffled as text and counted again, so that hashes that collide do
+    not matter.
+    """
+    grams = rows.select(F.col(site).alias("site"), F.explode(F.array_distinct(X.ngrams(X.words(text), n))).alias("phrase")).withColumn("hash", F.xxhash64("phrase"))
+    common = cut(grams.groupBy("hash").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("hash"))
+    by_site = grams.join(common, "hash", "left_semi").groupBy("phrase", "site").agg(F.count("*").alias("c"))
+    return by_site.groupBy("phrase").agg(F.sum("c").alias("pages"), F.count("*").alias("sites"), F.max("c").alias("most")).where(F.col("pages") >= least)
+
+
 def phrases(lines: DataFrame) -> DataFrame:
     """Distinct (page, phrase, words, bounded) of content-word uni-, bi- and trigrams inside a sentence.
 

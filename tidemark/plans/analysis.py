@@ -149,9 +149,7 @@ def a18_boilerplate_lines(spark, folder):
 @query(f"""WITH t AS (SELECT doc_id, source, {TOKENS} AS w FROM documents), g AS (SELECT DISTINCT doc_id, source, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS phrase FROM (SELECT doc_id, source, w, unnest(range(1, len(w) - 1)) AS i FROM t))
     SELECT phrase, count(*) AS pages, count(DISTINCT source) AS sites, max(c) AS most FROM (SELECT *, count(*) OVER (PARTITION BY phrase, source) AS c FROM g) GROUP BY 1 HAVING count(*) >= 4""")
 def a17_phrase_frequencies(spark, folder):
-    rows = table(spark, folder, "documents").select("doc_id", "source", F.explode(F.array_distinct(X.ngrams(X.words("text"), 3))).alias("phrase"))
-    by_site = rows.groupBy("phrase", "source").agg(F.count("*").alias("c"))
-    return by_site.groupBy("phrase").agg(F.sum("c").alias("pages"), F.count("*").alias("sites"), F.max("c").alias("most")).where("pages >= 4")
+    return P.frequent(table(spark, folder, "documents"), "doc_id", "source", "text", 3, 4)
 
 
 @query()

@@ -50,9 +50,13 @@ def t18_chunks(spark, folder):
     return P.chunks(table(spark, folder, "documents"), "doc_id", "text")
 
 
-@query("SELECT CAST(0 AS BIGINT) AS faults")
+@query(f"""WITH {_CHUNKS}, d AS (SELECT doc_id, passage, start, CASE WHEN passage % 11 = 5 THEN "end" + 200 ELSE "end" END AS "end" FROM p WHERE passage % 7 <> 3),
+    f AS (SELECT *, max("end") OVER (PARTITION BY doc_id ORDER BY passage ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached FROM d)
+    SELECT doc_id, passage, CASE WHEN start > coalesce(reached, 0) THEN 'gap' ELSE 'budget' END AS fault FROM f WHERE start > coalesce(reached, 0) OR "end" - start > 480""")
 def t22_plan_faults(spark, folder):
-    return P.plan_faults(P.chunks(table(spark, folder, "documents"), "doc_id", "text"), "doc_id").agg(F.count("*").alias("faults"))
+    plan = P.chunks(table(spark, folder, "documents"), "doc_id", "text").where("passage % 7 <> 3")
+    damaged = plan.withColumn("end", F.when(F.col("passage") % 11 == 5, F.col("end") + 200).otherwise(F.col("end")))
+    return P.plan_faults(damaged, "doc_id").select("doc_id", "passage", "fault")
 
 
 @query(f"""WITH {_CHUNKS}, r AS (SELECT doc_id, passage, sha256('title: ' || source || ' | text: ' || body) AS request_sha256 FROM p JOIN documents USING (doc_id)) SELECT request_sha256, count(*) AS uses FROM r GROUP BY 1""")

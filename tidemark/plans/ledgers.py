@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import facets as A
+from tidemark.operators import history as H
 from tidemark.plans.registry import query
 from tidemark.sources.tables import table
 
@@ -73,8 +74,6 @@ def n22_count_change(spark, folder):
 @query("""WITH s AS (SELECT user_id, event_type = 'error' AS bad, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - row_number() OVER (PARTITION BY user_id, event_type = 'error' ORDER BY ts, event_id) AS g FROM events)
     SELECT user_id, max(n) AS streak, sum(n)::BIGINT AS failures FROM (SELECT user_id, g, count(*) AS n FROM s WHERE bad GROUP BY 1, 2) GROUP BY 1""")
 def n19_failure_streaks(spark, folder):
-    from tidemark.operators import history as H
-
     rows = table(spark, folder, "events").select("user_id", "event_id", "ts", (F.col("event_type") == "error").alias("bad"))
     runs = H.islands(rows, ["user_id"], ["ts", "event_id"], "bad").where("bad").groupBy("user_id", "run").agg(F.count("*").alias("n"))
     return runs.groupBy("user_id").agg(F.max("n").alias("streak"), F.sum("n").alias("failures"))
@@ -98,9 +97,9 @@ def n06_set_token(spark, folder):
     return table(spark, folder, "documents").groupBy("source").agg(F.count("*").alias("n"), F.sha2(ids, 256).alias("token"))
 
 
-@query("SELECT p_partkey FROM part WHERE p_size > 45 AND p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_linestatus = 'O')")
+@query("SELECT p_partkey FROM part WHERE p_size > 45 AND p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45)")
 def n05_bulk_reject(spark, folder):
-    active = table(spark, folder, "lineitem").where("l_linestatus = 'O'").select(F.col("l_partkey").alias("p_partkey"))
+    active = table(spark, folder, "lineitem").where("l_quantity > 45").select(F.col("l_partkey").alias("p_partkey"))
     return table(spark, folder, "part").where("p_size > 45").select("p_partkey").join(active, "p_partkey", "left_anti")
 
 
@@ -113,11 +112,13 @@ def n29_activity(spark, folder):
     return top[0].unionByName(top[1]).unionByName(top[2])
 
 
-@query("""WITH RECURSIVE w AS (SELECT o_orderkey AS k, o_orderkey // 2 AS parent, 1 AS depth FROM orders UNION ALL SELECT k, parent // 2, depth + 1 FROM w WHERE parent > 0 AND depth < 100) SELECT k, max(depth)::INT AS depth FROM w GROUP BY 1""")
+@query("""WITH RECURSIVE p AS (SELECT a.o_orderkey AS k, b.o_orderkey AS parent FROM orders a LEFT JOIN orders b ON a.o_orderkey % 11 <> 0 AND b.o_orderkey = (a.o_orderkey * 31 + 17) % 15013),
+    w AS (SELECT k, parent, 0 AS depth FROM p UNION ALL SELECT w.k, p.parent, depth + 1 FROM w JOIN p ON w.parent = p.k WHERE depth < 101)
+    SELECT k, CASE WHEN bool_or(parent IS NULL) AND max(depth) <= 100 THEN max(depth) END::BIGINT AS depth FROM w GROUP BY 1""")
 def n10_lineage_depth(spark, folder):
-    spark_orders = table(spark, folder, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderkey").alias("at"), F.lit(0).alias("depth"))
-    # Pointer halving by expression: the parent of k is k div 2, so the depth is the number of binary digits.
-    return spark_orders.select("k", F.length(F.bin("k")).alias("depth"))
+    orders = table(spark, folder, "orders").select(F.col("o_orderkey").alias("k"))
+    parent = F.when(F.col("k") % 11 != 0, (F.col("k") * 31 + 17) % 15013)
+    return H.lineage(orders.withColumn("parent", parent), "k", "parent", 100)
 
 
 @query("""SELECT o_orderkey, o_totalprice, sum(round(o_totalprice * 100)::BIGINT) OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate, o_orderkey)::BIGINT AS running FROM orders QUALIFY running <= 100000000""")

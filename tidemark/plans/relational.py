@@ -62,9 +62,9 @@ def j08_exists(spark, folder):
     return table(spark, folder, "orders").select("o_orderkey").join(big, "o_orderkey", "left_semi")
 
 
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)")
 def j09_not_exists(spark, folder):
-    return table(spark, folder, "customer").select("c_custkey").join(table(spark, folder, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
+    return table(spark, folder, "customer").select("c_custkey").join(table(spark, folder, "orders").where("o_totalprice > 300000").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
 
 
 @query("""SELECT p_partkey FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R') AND p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity = 50)""")
@@ -123,10 +123,12 @@ def j21_latest_state(spark, folder):
     return H.latest(table(spark, folder, "events").select("user_id", "ts", "event_id", "event_type"), ["user_id"], "ts", "event_id")
 
 
-@query("""WITH p AS (SELECT page_id, regexp_extract(url, '^https?://(?:www\\.|m\\.|blog\\.)?([^?#]*)', 1) AS k FROM pages) SELECT a.page_id, b.page_id AS other_id FROM p a JOIN p b ON a.k = b.k AND a.page_id <> b.page_id""")
+@query("""WITH p AS (SELECT page_id, regexp_extract(url, '([^/?#]+)/?(?:[?#].*)?$', 1) AS k FROM pages)
+    SELECT * FROM (SELECT page_id, count(*) OVER (PARTITION BY k) - 1 AS others, lag(page_id) OVER (PARTITION BY k ORDER BY page_id) AS before FROM p) WHERE others > 0""")
 def j22_other_captures(spark, folder):
-    keyed = table(spark, folder, "pages").select("page_id", F.regexp_extract("url", r"^https?://(?:www\.|m\.|blog\.)?([^?#]*)", 1).alias("k"))
-    return keyed.join(keyed.withColumnRenamed("page_id", "other_id"), "k").where("page_id <> other_id").select("page_id", "other_id")
+    keyed = table(spark, folder, "pages").select("page_id", F.regexp_extract("url", r"([^/?#]+)/?(?:[?#].*)?$", 1).alias("k"))
+    own = Window.partitionBy("k")
+    return keyed.select("page_id", (F.count("*").over(own) - 1).alias("others"), F.lag("page_id").over(own.orderBy("page_id")).alias("before")).where("others > 0")
 
 
 @query("""SELECT doc_id, source, owner FROM (SELECT doc_id, source, first_value(doc_id) OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS owner FROM documents) WHERE doc_id <> owner""")
@@ -269,9 +271,9 @@ def u03_union_distinct(spark, folder):
     return table(spark, folder, "lineitem").where("l_returnflag = 'A'").select(F.col("l_partkey").alias("k")).union(table(spark, folder, "part").where("p_size > 40").select("p_partkey")).distinct()
 
 
-@query("SELECT p_partkey AS k FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity > 30")
+@query("SELECT p_partkey AS k FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity > 48")
 def u04_difference(spark, folder):
-    return table(spark, folder, "part").select(F.col("p_partkey").alias("k")).subtract(table(spark, folder, "lineitem").where("l_quantity > 30").select("l_partkey"))
+    return table(spark, folder, "part").select(F.col("p_partkey").alias("k")).subtract(table(spark, folder, "lineitem").where("l_quantity > 48").select("l_partkey"))
 
 
 @query("SELECT l_partkey AS k FROM lineitem WHERE l_returnflag = 'R' INTERSECT SELECT l_partkey FROM lineitem WHERE l_linestatus = 'F' AND l_quantity < 10")

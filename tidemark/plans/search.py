@@ -126,9 +126,9 @@ def q13_grouped_search(spark, folder):
     return rows.groupBy("item_id", "source").agg(F.min_by("doc_id", "rank").alias("doc_id"), F.min("rank").alias("rank"), F.count("*").alias("matches"))
 
 
-@query("SELECT p_partkey, p_name FROM part WHERE starts_with(lower(p_name), 'part 1') ORDER BY p_name, p_partkey LIMIT 10")
+@query("SELECT p_partkey, p_name FROM part WHERE starts_with(lower(p_name), 'blue b') ORDER BY p_name, p_partkey LIMIT 10")
 def q19_autocomplete(spark, folder):
-    return table(spark, folder, "part").where(F.startswith(F.lower("p_name"), F.lit("part 1"))).select("p_partkey", "p_name").orderBy("p_name", "p_partkey").limit(10)
+    return table(spark, folder, "part").where(F.startswith(F.lower("p_name"), F.lit("blue b"))).select("p_partkey", "p_name").orderBy("p_name", "p_partkey").limit(10)
 
 
 @query("SELECT source, max(doc_id) AS latest, count(*) AS n FROM documents GROUP BY 1 ORDER BY latest DESC, source LIMIT 8")
