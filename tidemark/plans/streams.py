@@ -14,19 +14,24 @@ def _local(rows: DataFrame, column: str) -> DataFrame:
     return rows.withColumn(column, F.col(column).cast("timestamp_ntz"))
 
 
-@query("SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+#: A window is told once the watermark, a week behind the latest event, has passed its end; only open windows are kept as state.
+_CLOSED = "(SELECT max(ts) - INTERVAL 7 DAY AS mark FROM events)"
+
+
+@query(f"SELECT start, event_type, n FROM (SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2), {_CLOSED} WHERE start + INTERVAL 1 DAY <= mark")
 def z05_tumbling_windows(spark, folder):
-    return _local(S.drained(S.windowed_counts(S.event_stream(spark, folder), "1 day"), "complete"), "start")
+    return _local(S.drained(S.windowed_counts(S.event_stream(spark, folder), "1 day"), "append"), "start")
 
 
-@query("SELECT date_trunc('day', ts) - to_days(d::INT) AS start, event_type, count(*) AS n FROM events, range(7) t(d) GROUP BY 1, 2")
+@query(f"SELECT start, event_type, n FROM (SELECT date_trunc('day', ts) - to_days(d::INT) AS start, event_type, count(*) AS n FROM events, range(7) t(d) GROUP BY 1, 2), {_CLOSED} WHERE start + INTERVAL 7 DAY <= mark")
 def z07_sliding_windows(spark, folder):
-    return _local(S.drained(S.windowed_counts(S.event_stream(spark, folder), "7 days", "1 day"), "complete"), "start")
+    return _local(S.drained(S.windowed_counts(S.event_stream(spark, folder), "7 days", "1 day"), "append"), "start")
 
 
-@query("""SELECT user_id, min(ts) AS start, count(*) AS n FROM (SELECT *, sum(gap) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 4 HOUR THEN 0 ELSE 1 END AS gap FROM events)) GROUP BY user_id, s""")
+@query(f"""SELECT user_id, start, n FROM (SELECT user_id, min(ts) AS start, max(ts) AS last, count(*) AS n FROM (SELECT *, sum(gap) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 4 HOUR THEN 0 ELSE 1 END AS gap FROM events)) GROUP BY user_id, s), {_CLOSED}
+    WHERE last + INTERVAL 4 HOUR <= mark""")
 def z10_session_windows(spark, folder):
-    return _local(S.drained(S.sessions(S.event_stream(spark, folder), "4 hours"), "complete"), "start")
+    return _local(S.drained(S.sessions(S.event_stream(spark, folder), "4 hours"), "append"), "start")
 
 
 @query("SELECT DISTINCT user_id, event_type FROM events")

@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -27,30 +28,32 @@ def work_folder(spark: SparkSession) -> str:
     return os.path.join(shared_folder(spark), f"stream-{uuid.uuid4().hex}")
 
 
-def drained(stream: DataFrame, mode: str, merge: Callable[[DataFrame | None, DataFrame], DataFrame] | None = None) -> DataFrame:
+def drained(stream: DataFrame, mode: str, merge: Callable[[DataFrame | None, DataFrame], DataFrame] | None = None, folder: str | None = None) -> DataFrame:
     """Runs a stream over all that is there and returns its table.
 
     Each batch writes a folder of its own by batch number, so that a batch that is run
-    again replaces its output: complete results stand alone, appended ones are read
-    together, and merge, if given, folds a batch into what the last one left.
+    again replaces its output, and a batch that merges reads what the batch before it left.
+    A folder given again resumes where its last run ended; without one, a new one is taken.
+    Batches are found by their folders, so a restarted driver needs no memory of them.
     """
     spark = stream.sparkSession
-    folder = work_folder(spark)
-    done: list[str] = []
+    folder = folder or work_folder(spark)
+    out = f"{folder}/out"
 
     def write(batch: DataFrame, number: int) -> None:
-        path = f"{folder}/out/batch={number}"
         if merge is not None:
-            before = spark.read.parquet(done[-1]) if done else None
-            batch = merge(before, batch)
-        batch.write.mode("overwrite").parquet(path)
-        if path not in done:
-            done.append(path)
+            batch = merge(spark.read.parquet(f"{out}/batch={number - 1}") if number else None, batch)
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
-    if not done:
+    try:
+        found = spark.read.parquet(out)
+    except AnalysisException:  # no batch has run
         return spark.createDataFrame([], stream.schema)
-    return spark.read.parquet(*(done if mode == "append" and merge is None else done[-1:]))
+    if mode == "append" and merge is None:
+        return found.drop("batch")
+    last = found.agg(F.max("batch")).first()[0]
+    return spark.createDataFrame([], stream.schema) if last is None else spark.read.parquet(f"{out}/batch={last}")
 
 
 def windowed_counts(events: DataFrame, length: str, slide: str | None = None, late: str = "7 days") -> DataFrame:
