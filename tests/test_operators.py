@@ -157,3 +157,38 @@ def test_nearest_takes_queries_as_a_table(spark, monkeypatch):
     near = lambda q: sorted(range(100), key=lambda i: (-round(math.cos(i - q), 9), i))[:3]
     assert got == sorted([(q, r + 1, i) for q in range(0, 100, 5) for r, i in enumerate(near(q))], key=repr)
     assert V.nearest(df, asked.limit(0), "id", "v", 3).count() == V.nearest(df.limit(0), asked, "id", "v", 3).count() == 0
+
+
+def test_query_lexemes():
+    assert L.signed('red AND "a OR b" OR (blue NOT green)') == 'red + "a OR b" | ( blue -green )'
+    assert [L.constrained(q) for q in ("red green", "red-green", "red -green", '"red"', "a | b", "c++", "")] == [False, False, True, True, True, True, False]
+
+
+def test_open_brackets_and_quotes(spark):
+    df = spark.createDataFrame([(1, "red green"), (2, "blue")], "id int, t string")
+    found = lambda q: [r.id for r in df.where(L.matches(X.words("t"), q)).orderBy("id").collect()]
+    assert found("(red") == found('"red green') == found("red)") == found("red | ") == [1]
+    assert found("- ") == [1, 2] and found("-red") == [2]
+
+
+def test_lineage_of_cycles_and_long_chains(spark):
+    rows = [(k, k - 1) for k in range(1, 131)] + [(0, None), (200, 201), (201, 200), (300, 999), (400, 400)]
+    got = dict(map(tuple, H.lineage(spark.createDataFrame(rows, "k long, p long"), "k", "p", 100).collect()))
+    assert got == {k: k if k <= 100 else None for k in range(131)} | {200: None, 201: None, 300: 0, 400: None}
+
+
+def test_a_stream_resumes_and_drops_late_rows(spark, tmp_path):
+    from tidemark.streaming import events as S
+
+    def write(name, rows):
+        df = spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string, value double, props string")
+        df.withColumn("ts", F.col("ts").cast("timestamp_ntz")).toPandas().to_parquet(tmp_path / "in" / f"events{name}.parquet", coerce_timestamps="us")
+
+    row = lambda k, day: (k, f"2024-01-{day:02} 12:00:00", 1, "view", 1.0, "{}")
+    run = lambda: {str(r.start)[:10]: r.n for r in S.drained(S.windowed_counts(S.event_stream(spark, str(tmp_path / "in")), "1 day", late="2 days"), "append", folder=str(tmp_path / "work")).collect()}
+    (tmp_path / "in").mkdir()
+    write(1, [row(1, 1), row(2, 1), row(3, 5)])
+    assert run() == {"2024-01-01": 2}
+    write(2, [row(4, 1), row(5, 4), row(6, 9)])
+    assert run() == {"2024-01-01": 2, "2024-01-04": 1, "2024-01-05": 1}
+    assert run() == {"2024-01-01": 2, "2024-01-04": 1, "2024-01-05": 1}

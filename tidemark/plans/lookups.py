@@ -210,7 +210,7 @@ def a41_diversity(spark, folder):
 def a33_paired_bootstrap(spark, folder):
     items = table(spark, folder, "benchmark").select("item_id", (F.length("text") % 7 - F.length("text") % 5).alias("delta"))
     pairs = items.withColumn("at", F.row_number().over(Window.orderBy("item_id")).cast("bigint") - 1)  # one row a judged query
-    draws = pairs.select("at", F.count("*").over(Window.partitionBy()).alias("n"), F.explode(F.sequence(F.lit(0), F.lit(999))).alias("k"))
+    draws = pairs.crossJoin(F.broadcast(items.agg(F.count("*").alias("n")))).select("at", "n", F.explode(F.sequence(F.lit(0), F.lit(999))).alias("k"))
     drawn = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit("17"), F.col("k").cast("string"), F.col("at").cast("string"))), 1, 8), 16, 10).cast("bigint") % F.col("n")
     means = draws.select("k", drawn.alias("at")).join(pairs.select("at", "delta"), "at").groupBy("k").agg(F.avg("delta").alias("mean"))
     place = means.withColumn("place", F.row_number().over(Window.orderBy("mean", "k")))  # a thousand rows
