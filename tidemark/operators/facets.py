@@ -85,3 +85,11 @@ def first_of(rows: DataFrame, keys: list[str], *order: Column) -> DataFrame:
 def top_of(rows: DataFrame, keys: list[str], size: int, *order: Column) -> DataFrame:
     n = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     return rows.withColumn("__n", n).where(F.col("__n") <= size).drop("__n")
+
+
+def with_defaults(rows: DataFrame, defaults: dict) -> DataFrame:
+    """The named columns with defaults for nulls; raises on columns that are not named."""
+    if unknown := sorted(set(rows.columns) - set(defaults)):
+        raise ValueError(f"unknown columns: {', '.join(unknown)}")
+    given = [F.col(c) if c in rows.columns else F.lit(None) for c in defaults]
+    return rows.select(*(x.alias(c) if d is None else F.coalesce(x, F.lit(d)).alias(c) for x, (c, d) in zip(given, defaults.items())))

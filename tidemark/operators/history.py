@@ -69,3 +69,34 @@ def lineage(rows: DataFrame, key: str, parent: str, most: int) -> DataFrame:
         done, open_ = cut(done.union(done_now)), cut(rest)
     found = done.where(F.col("depth") <= most)
     return rows.select(F.col(key).alias("k")).join(found, "k", "left").select(F.col("k").alias(key), "depth")
+
+
+def manifest_problems(entries: DataFrame, files: DataFrame, scopes: list[str]) -> DataFrame:
+    """Rows (id, problem) of manifest entries (id, path, parent, size, sha256) against files (id, size, sha256).
+
+    An entry may have several: its path is used twice, it lies outside of the scopes, its parent is no
+    entry, its file is missing, or the file has another size or digest.
+    """
+    paths = entries.groupBy("path").agg(F.count("*").alias("uses"))
+    parents = entries.select(F.col("id").alias("parent")).distinct().withColumn("known", F.lit(True))
+    found = files.select("id", F.col("size").alias("found_size"), F.col("sha256").alias("found_sha256"))
+    rows = entries.join(paths, "path").join(parents, "parent", "left").join(found, "id", "left")
+    outside = ~F.exists(F.array(*map(F.lit, scopes)), lambda s: F.startswith("path", s))
+    checks = [
+        (F.col("uses") > 1, "path used twice"), (outside, "outside scope"), (F.col("parent").isNotNull() & F.col("known").isNull(), "no parent"),
+        (F.col("found_sha256").isNull(), "missing"), (F.col("found_size") != F.col("size"), "size"), (F.col("found_sha256") != F.col("sha256"), "digest"),
+    ]
+    problems = F.array_compact(F.array(*[F.when(c, n) for c, n in checks]))
+    return rows.select("id", F.explode(problems).alias("problem"))
+
+
+def whole_batches(decisions: DataFrame, current: DataFrame, most: int) -> DataFrame:
+    """Rows (batch, accepted, stale): a batch of (batch, id, sha256) counts only as a whole.
+
+    It is refused if it has over ``most`` decisions, an id twice, or a digest that is not the current one.
+    """
+    now = current.select("id", F.col("sha256").alias("now"))
+    rows = decisions.join(now, "id", "left").withColumn("old", ~F.coalesce(F.col("now") == F.col("sha256"), F.lit(False)))
+    once = rows.groupBy("batch", "id").agg(F.count("*").alias("n"), F.count_if("old").alias("stale"))
+    sums = once.groupBy("batch").agg(F.sum("n").alias("n"), F.count("*").alias("ids"), F.sum("stale").alias("stale"))
+    return sums.select("batch", ((F.col("n") <= most) & (F.col("n") == F.col("ids")) & (F.col("stale") == 0)).alias("accepted"), "stale")

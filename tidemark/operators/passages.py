@@ -6,6 +6,7 @@ import html
 import re
 from urllib.parse import urljoin
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -64,6 +65,97 @@ def chunks(rows: DataFrame, key: str, text: str, budget: int = BUDGET, overlap:
     return flat.select(key, F.col("passage").cast("bigint").alias("passage"), F.col("start").cast("bigint").alias("start"), end.cast("bigint").alias("end"), F.array_join(F.slice("w", F.col("start") + 1, budget), " ").alias("body"))
 
 
+# Words longer than this cost a token for each of their UTF-8 bytes.
+LONG_WORD = 100
+_PIECE = re.compile(r"\w+|[^\w\s]")
+_CUTS = [re.compile(p) for p in (r"\s+", r"\r?\n|[.!?][ \t]+", r"\r?\n[ \t]*\r?\n")]
+
+
+def token_starts(text: str) -> np.ndarray:
+    """Where each token of a text starts: words and marks, an overlong word byte by byte."""
+    starts = []
+    for m in _PIECE.finditer(text):
+        if m.end() - m.start() <= LONG_WORD:
+            starts.append(m.start())
+        else:
+            starts.extend(k for k in range(m.start(), m.end()) for _ in text[k].encode("utf-8", "replace"))
+    return np.array(starts, np.int64)
+
+
+def spans(text: str, budget: int, overlap: int) -> list[tuple[int, int, int]]:
+    """(start, end, tokens) of the passages of a text, in code points; together they cover all of it.
+
+    A passage ends at the last paragraph break in the second half of its budget, else at the last
+    line or sentence end there, else after a word, else at the budget. The next one starts
+    ``overlap`` tokens before, at a word where there is one.
+    """
+    at, n = token_starts(text), len(text)
+    rank = np.zeros(n + 1, np.int8)
+    for value, pattern in enumerate(_CUTS, 1):
+        for m in pattern.finditer(text):
+            rank[m.end()] = value
+    cuts = np.flatnonzero(rank)
+    out, start = [], 0
+    while start < n:
+        first = int(np.searchsorted(at, start))
+        end = int(at[first + budget]) if first + budget < len(at) else n
+        if end < n:
+            a, b = np.searchsorted(cuts, at[first + budget // 2]), np.searchsorted(cuts, end, "right")
+            if b > a:
+                ranks = rank[cuts[a:b]]
+                end = int(cuts[b - 1 - int(ranks[::-1].argmax())])
+        done = int(np.searchsorted(at, end))
+        out.append((start, end, done - first))
+        if end == n:
+            break
+        back = int(at[max(first + 1, done - overlap)]) if done - overlap < len(at) else end
+        word = int(np.searchsorted(cuts, back))
+        start = max(start + 1, min(end, int(cuts[word]) if word < len(cuts) else back))
+    return out
+
+
+def source_passages(rows: DataFrame, key: str, text: str, prefix: str = "", budget: int = BUDGET, overlap: int = OVERLAP) -> DataFrame:
+    """Rows (key, passage, start, end, tokens, body): boundary-aware passages with exact source offsets.
+
+    The prefix's tokens come off the budget. Null and empty texts have no passage.
+    """
+    left = budget - len(token_starts(prefix))
+    if left < 8 or not 0 <= overlap < left // 2:
+        raise ValueError("the budget is too small for the prefix and the overlap")
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
+
+    def run(batches):
+        for batch in batches:
+            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                found = [(k, n, a, b, c, t[a:b]) for n, (a, b, c) in enumerate(spans(t or "", left, overlap))]
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(zip(*found), types)], [key, "passage", "start", "end", "tokens", "body"])
+
+    return rows.select(F.col(key).cast("long").alias(key), text).mapInArrow(run, f"`{key}` long, passage long, start long, end long, tokens long, body string")
+
+
+def stitched(passages: DataFrame, key: str) -> DataFrame:
+    """Rows (key, text): overlapping passages of a source put together again by their offsets."""
+    before = F.coalesce(F.lag("end").over(Window.partitionBy(key).orderBy("passage")), F.lit(0))
+    fresh = passages.select(key, "passage", F.substring("body", (before - F.col("start") + 1).cast("int"), F.length("body")).alias("part"))
+    parts = F.transform(F.sort_array(F.collect_list(F.struct("passage", "part"))), lambda x: x["part"])
+    return fresh.groupBy(key).agg(F.array_join(parts, "").alias("text"))
+
+
+def evidence(passages: DataFrame, key: str, place: str, semantic: str, lexical: str) -> DataFrame:
+    """Rows (key, semantic_place, lexical_place, fallback_place): a document's best passages.
+
+    Scores that are null or 0 are no evidence; the first passage stands in where there is none. Ties go to the first.
+    """
+    def best(score):
+        order = F.when(F.col(score) > 0, F.struct(F.col(score), -F.col(place)))
+        return F.max_by(place, order)
+
+    rows = passages.groupBy(key).agg(best(semantic).alias("semantic_place"), best(lexical).alias("lexical_place"), F.min(place).alias("first"))
+    none = F.col("semantic_place").isNull() & F.col("lexical_place").isNull()
+    return rows.withColumn("fallback_place", F.when(none, F.col("first"))).drop("first")
+
+
 def plan_faults(passages: DataFrame, key: str, budget: int = BUDGET) -> DataFrame:
     """Passages that break an invariant: gaps, starts that do not rise, or too many tokens."""
     own = Window.partitionBy(key).orderBy("passage")

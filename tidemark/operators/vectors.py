@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import base64
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -95,3 +98,29 @@ def mean_vectors(rows: DataFrame, key: str, vector: str) -> DataFrame:
     places = rows.select(key, F.posexplode(vector).alias("place", "x")).groupBy(key, "place").agg(F.avg(F.col("x").cast("double")).alias("x"))
     whole = places.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "x"))), lambda s: s["x"]).alias("mean"))
     return whole.select(key, F.transform("mean", lambda x: x / norm(F.col("mean"))).alias("mean"))
+
+
+def packed(vector: str) -> Column:
+    """Little-endian 32-bit floats in base64, exact to the bit."""
+
+    @F.pandas_udf("string")
+    def run(vectors: pd.Series) -> pd.Series:
+        return vectors.map(lambda v: None if v is None else base64.b64encode(np.asarray(v, "<f4").tobytes()).decode("ascii"))
+
+    return run(vector)
+
+
+def unpacked(text: str) -> Column:
+    """The floats of ``packed``; null where the text is no base64 of whole floats."""
+
+    def one(t):
+        try:
+            return None if t is None else np.frombuffer(base64.b64decode(t, validate=True), "<f4")
+        except ValueError:
+            return None
+
+    @F.pandas_udf("array<float>")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(one)
+
+    return run(text)
