@@ -12,6 +12,7 @@ import heapq
 import json
 import os
 import re
+import struct
 import sys
 import unicodedata
 import zlib
@@ -31,6 +32,7 @@ _ALL = regex.compile(SPLIT.format(letter=r"\p{L}", digit=r"\p{N}", other=r"[^\s\
 
 #: Below this character the standard module splits alike, in half the time, by classes spelled out.
 SIMPLE_END = 0x558
+_FAR = re.compile(f"[^\\0-{chr(SIMPLE_END - 1)}]")
 
 
 def _class(kind: str) -> str:
@@ -62,7 +64,7 @@ def _exact() -> tuple[regex.Pattern, regex.Pattern]:
 
 def pieces(text: str) -> list[str]:
     """The text's pieces before any merge."""
-    if text.isascii() or max(text) < chr(SIMPLE_END):
+    if text.isascii() or not _FAR.search(text):
         return _SIMPLE.findall(text)
     new, exact = _exact()
     return (exact if new.search(text) else _ALL).findall(text)
@@ -135,14 +137,19 @@ class Ids(dict):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_file(path)
-        special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.split = regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else None
+        library = Tokenizer.from_file(path)
+        self.model = library.model
+        self.special = {t.content: k for k, t in library.get_added_tokens_decoder().items()}
+        self.split = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
+        self.names = dict(enumerate(_byte_names()))
 
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= REMEMBERED:
             self.clear()
-        x = self[piece] = np.array(self.library.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
+        # A piece is split already, so the library's model alone, without its splitter, gives its ids.
+        spelled = piece.encode("utf-8").decode("latin-1").translate(self.names)
+        found = [self.special[piece]] if piece in self.special else [t.id for t in self.model.tokenize(spelled)]
+        x = self[piece] = struct.pack(f"<{len(found)}I", *found)
         return x
 
     def encode(self, text: str) -> bytes:
