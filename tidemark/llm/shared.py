@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.storage import cut, shared_folder
 
-__all__ = ["components", "cut", "partitions", "shared_folder", "spread_join", "text_bytes"]
+__all__ = ["components", "cut", "partitions", "shared_folder", "spread_join", "text_bytes", "written"]
 
 #: Rounds after which components() gives up; each round at least halves the stars' depth.
 ROUNDS = 200
@@ -19,6 +21,13 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows, written once as a table in the shared folder and read back; lineage ends there."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def text_bytes(df: DataFrame, column: str) -> int:
     """Bytes of text in a column: one narrow aggregate, so that partitions can be sized by it."""
     return int(df.agg(F.sum(F.octet_length(column)).alias("n")).first()["n"] or 0)
