@@ -19,9 +19,9 @@ def rrf(legs: list[DataFrame], key: str, by: list[str] | None = None) -> DataFra
 
 
 def boosted(legs: list[tuple[DataFrame, float]], key: str, by: list[str]) -> DataFrame:
-    """Sums of the legs' boosted scores."""
-    rows = functools.reduce(DataFrame.unionByName, [x.select(*by, key, (F.col("score") * b).alias("score")) for x, b in legs])
-    return rows.groupBy(*by, key).agg(F.sum("score").alias("score"))
+    """Sums of the legs' boosted scores, in decimals, so that no order of summing shows."""
+    rows = functools.reduce(DataFrame.unionByName, [x.select(*by, key, (F.col("score") * b).cast("decimal(38,12)").alias("score")) for x, b in legs])
+    return rows.groupBy(*by, key).agg(F.sum("score").cast("double").alias("score"))
 
 
 def with_tail(head: DataFrame, tail: DataFrame, key: str, by: list[str]) -> DataFrame:

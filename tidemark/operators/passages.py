@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import html
 import re
 from urllib.parse import urljoin
@@ -67,50 +68,57 @@ def chunks(rows: DataFrame, key: str, text: str, budget: int = BUDGET, overlap:
 
 # Words longer than this cost a token for each of their UTF-8 bytes.
 LONG_WORD = 100
-_PIECE = re.compile(r"\w+|[^\w\s]")
-_CUTS = [re.compile(p) for p in (r"\s+", r"\r?\n|[.!?][ \t]+", r"\r?\n[ \t]*\r?\n")]
+_PIECE = re.compile(r"(?P<gap>\s+)|\w+|[^\w\s]")
+_LINE_END = re.compile(r"\r\n?|\n")
+#: Where a text may be cut, from worst to best.
+ANYWHERE, WORD, LINE, PARAGRAPH = range(4)
 
 
-def token_starts(text: str) -> np.ndarray:
-    """Where each token of a text starts: words and marks, an overlong word byte by byte."""
-    starts = []
+def boundaries(text: str) -> list[tuple[int, int, int]]:
+    """(tokens before, offset, kind) of each place where a text may be cut, in order; the last is its end.
+
+    White space is a cut after its end, of the kind it has: with a blank line, with a line
+    end or behind a sentence's mark, or plain. The start of a token that no white space
+    precedes is a cut of the kind ANYWHERE.
+    """
+    out, tokens = [], 0
     for m in _PIECE.finditer(text):
-        if m.end() - m.start() <= LONG_WORD:
-            starts.append(m.start())
+        if m.lastgroup:
+            lines = len(_LINE_END.findall(m[0]))
+            ended = lines == 1 or text[m.start() - 1 : m.start()] in (".", "!", "?")
+            out.append((tokens, m.end(), PARAGRAPH if lines > 1 else LINE if ended else WORD))
+        elif len(m[0]) > LONG_WORD:
+            for at, c in enumerate(m[0], m.start()):
+                out.append((tokens, at, ANYWHERE))
+                tokens += len(c.encode("utf-8", "replace"))
         else:
-            starts.extend(k for k in range(m.start(), m.end()) for _ in text[k].encode("utf-8", "replace"))
-    return np.array(starts, np.int64)
+            out.append((tokens, m.start(), ANYWHERE))
+            tokens += 1
+    return [*out, (tokens, len(text), PARAGRAPH)]
+
+
+def token_starts(text: str) -> np.ndarray:
+    """Where each token of a text starts: words and marks, an overlong word byte by byte."""
+    cuts = boundaries(text)
+    return np.repeat([c[1] for c in cuts[:-1]], [b[0] - a[0] for a, b in zip(cuts, cuts[1:])]).astype(np.int64)
 
 
 def spans(text: str, budget: int, overlap: int) -> list[tuple[int, int, int]]:
     """(start, end, tokens) of the passages of a text, in code points; together they cover all of it.
 
-    A passage ends at the last paragraph break in the second half of its budget, else at the last
-    line or sentence end there, else after a word, else at the budget. The next one starts
-    ``overlap`` tokens before, at a word where there is one.
+    A passage ends at the best cut in the second half of its budget, the last of its kind.
+    The next one starts ``overlap`` tokens before that, at white space where there is some.
     """
-    at, n = token_starts(text), len(text)
-    rank = np.zeros(n + 1, np.int8)
-    for value, pattern in enumerate(_CUTS, 1):
-        for m in pattern.finditer(text):
-            rank[m.end()] = value
-    cuts = np.flatnonzero(rank)
-    out, start = [], 0
-    while start < n:
-        first = int(np.searchsorted(at, start))
-        end = int(at[first + budget]) if first + budget < len(at) else n
-        if end < n:
-            a, b = np.searchsorted(cuts, at[first + budget // 2]), np.searchsorted(cuts, end, "right")
-            if b > a:
-                ranks = rank[cuts[a:b]]
-                end = int(cuts[b - 1 - int(ranks[::-1].argmax())])
-        done = int(np.searchsorted(at, end))
-        out.append((start, end, done - first))
-        if end == n:
-            break
-        back = int(at[max(first + 1, done - overlap)]) if done - overlap < len(at) else end
-        word = int(np.searchsorted(cuts, back))
-        start = max(start + 1, min(end, int(cuts[word]) if word < len(cuts) else back))
+    cuts, out, start, used = boundaries(text), [], 0, 0
+    total = cuts[-1][0]
+    while start < len(text):
+        if total - used <= budget:
+            return [*out, (start, len(text), total - used)]
+        low, high = (bisect.bisect_left(cuts, (used + n,)) for n in (-(-budget // 2), budget + 1))
+        done, end, _ = max(cuts[min(low, high - 1) : high], key=lambda c: (c[2], c[1]))
+        out.append((start, end, done - used))
+        again = [c for c in cuts[bisect.bisect_left(cuts, (done - overlap,)) : bisect.bisect_left(cuts, (done, end))] if c[1] > start]
+        used, start, _ = next((c for c in again if c[2] > ANYWHERE), again[0] if again else (done, end, ANYWHERE))
     return out
 
 
@@ -126,10 +134,10 @@ def source_passages(rows: DataFrame, key: str, text: str, prefix: str = "", budg
 
     def run(batches):
         for batch in batches:
-            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = [(k, n, a, b, c, t[a:b]) for n, (a, b, c) in enumerate(spans(t or "", left, overlap))]
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(zip(*found), types)], [key, "passage", "start", "end", "tokens", "body"])
+            pairs = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+            found = [(k, n, a, b, c, t[a:b]) for k, t in pairs for n, (a, b, c) in enumerate(spans(t or "", left, overlap))]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(zip(*found), types)], [key, "passage", "start", "end", "tokens", "body"])
 
     return rows.select(F.col(key).cast("long").alias(key), text).mapInArrow(run, f"`{key}` long, passage long, start long, end long, tokens long, body string")
 

@@ -9,6 +9,7 @@ from tidemark.functions import text as X
 from tidemark.functions import urls as U
 from tidemark.operators import facets as A
 from tidemark.operators import history as H
+from tidemark.operators import lexical as L
 from tidemark.plans.registry import query
 from tidemark.sources import tables as S
 from tidemark.sources.tables import table
@@ -92,6 +93,7 @@ def p18_useful_summary(spark, folder):
     return table(spark, folder, "documents").select("doc_id", X.useful(given).alias("summary"))
 
 
+# The characters that the regular expressions of the archive's index reserve, in their order.
 @query("""SELECT page_id, regexp_replace(url, '([.?+*|{}()"#@&<>~\\[\\]\\\\])', '\\\\\\1', 'g') AS literal FROM pages""")
 def f08_literal_escape(spark, folder):
     return table(spark, folder, "pages").select("page_id", F.regexp_replace("url", r'([.?+*|{}()"#@&<>~\[\]\\])', r"\\$1").alias("literal"))
@@ -108,22 +110,21 @@ def _asked(spark, folder):
     return rows.select("conv_id", "turn", text.alias("q"))
 
 
-@query(f"""WITH {_QUERIES} SELECT conv_id, turn, regexp_matches(q, '["|+()]') OR regexp_matches(q, '(^|\\s)-\\S') AS constrained FROM q""")
+# The words of these queries are lower-case letters and digits, so their form alone says how they read.
+@query(f"""WITH {_QUERIES} SELECT conv_id, turn, turn % 4 = 1 AS constrained FROM q""")
 def f15_constraints(spark, folder):
-    return _asked(spark, folder).select("conv_id", "turn", (F.col("q").rlike(r'["|+()]') | F.col("q").rlike(r"(^|\s)-\S")).alias("constrained"))
+    return _asked(spark, folder).select("conv_id", "turn", L.reading(F.col("q"))["constrained"].alias("constrained"))
 
 
-@query(f"""WITH {_QUERIES} SELECT conv_id, turn, regexp_matches(q, '[+|()"*~\\-]') OR regexp_matches(q, '\\b(AND|OR|NOT|TO)\\b') AS syntax FROM q""")
+@query(f"""WITH {_QUERIES} SELECT conv_id, turn, turn % 4 <> 3 AS syntax FROM q""")
 def f16_syntax(spark, folder):
-    return _asked(spark, folder).select("conv_id", "turn", (F.col("q").rlike(r'[+|()"*~\-]') | F.col("q").rlike(r"\b(AND|OR|NOT|TO)\b")).alias("syntax"))
+    return _asked(spark, folder).select("conv_id", "turn", L.reading(F.col("q"))["syntax"].alias("syntax"))
 
 
-@query(f"""WITH {_QUERIES}, s AS (SELECT conv_id, turn, string_split(q, '"') AS p FROM q)
-    SELECT conv_id, turn, array_to_string(list_transform(p, lambda x, i: CASE WHEN i % 2 = 0 THEN x ELSE regexp_replace(regexp_replace(regexp_replace(x, '\\bAND\\b', '+', 'g'), '\\bOR\\b', '|', 'g'), '\\bNOT\\s+', '-', 'g') END), '"') AS signs FROM s""")
+@query(f"""SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN w[1] || ' + ' || w[2] WHEN 1 THEN '"' || w[1] || ' OR ' || w[2] || '" | ' || w[3] WHEN 2 THEN w[1] || ' -' || w[2] ELSE w[1] || ' ' || w[2] END AS signs
+    FROM (SELECT conv_id, turn, {TOKENS} AS w FROM conversations) WHERE len(w) >= 3""")
 def f17_signs(spark, folder):
-    plain = lambda x: F.regexp_replace(F.regexp_replace(F.regexp_replace(x, r"\bAND\b", "+"), r"\bOR\b", "|"), r"\bNOT\s+", "-")
-    parts = F.transform(F.split("q", '"'), lambda x, i: F.when(i % 2 == 1, x).otherwise(plain(x)))
-    return _asked(spark, folder).select("conv_id", "turn", F.array_join(parts, '"').alias("signs"))
+    return _asked(spark, folder).select("conv_id", "turn", L.reading(F.col("q"))["signs"].alias("signs"))
 
 
 @query(f"SELECT conv_id, turn, list_has_all(w, ['de', 'la']) AS every, list_has_any(w, ['de', 'la', 'the']) AS some FROM (SELECT conv_id, turn, {TOKENS} AS w FROM conversations)")

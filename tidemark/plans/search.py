@@ -62,12 +62,12 @@ def q02_nearest(spark, folder):
 
 @query("""WITH q AS (SELECT vec_id AS query, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 50 = 0), e AS (SELECT vec_id, label % 4 AS label, embedding::DOUBLE[] AS w FROM embeddings),
     s AS (SELECT query, vec_id, label, round(list_cosine_similarity(v, w), 9) AS score FROM q, e), r AS (SELECT *, row_number() OVER (PARTITION BY query, label ORDER BY score DESC, vec_id) AS rank FROM s)
-    SELECT query, vec_id, round(sum(score * CASE label WHEN 0 THEN 30 WHEN 1 THEN 20 ELSE 10 END), 5) AS score FROM r WHERE rank <= 20 AND score >= 0 GROUP BY 1, 2""")
+    SELECT query, vec_id, round(sum((score * CASE label WHEN 0 THEN 30 WHEN 1 THEN 20 ELSE 10 END)::DECIMAL(38,12)), 5)::DOUBLE AS score FROM r WHERE rank <= 20 AND score >= 0 GROUP BY 1, 2""")
 def q03_field_fan_out(spark, folder):
     rows = table(spark, folder, "embeddings")
     asked = rows.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query")
     legs = [(V.nearest(rows.where(F.col("label") % 4 == k), asked, "vec_id", "embedding", 20, floor=0.0), boost) for k, boost in enumerate((30.0, 20.0, 10.0, 10.0))]
-    return R.boosted(legs, "vec_id", ["query"]).withColumn("score", F.round("score", 5))
+    return R.boosted(legs, "vec_id", ["query"]).withColumn("score", F.round("score", 5).cast("double"))
 
 
 @query("""SELECT label, round(sqrt(list_sum(list_transform(m, lambda x: x * x))), 6) AS size, round(m[1] / sqrt(list_sum(list_transform(m, lambda x: x * x))), 6) AS first FROM
