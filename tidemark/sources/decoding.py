@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.sources.regions import regions, shifted
+
 # Byte order marks with their encodings; escapes that open ISO-2022-JP runs; Japanese encodings.
 MARKS = [
     (codecs.BOM_UTF32_LE, "utf-32"), (codecs.BOM_UTF32_BE, "utf-32"), (codecs.BOM_UTF8, "utf-8-sig"),
@@ -67,41 +69,28 @@ def _western(data: bytes, named: list[str]):
 def read_bytes(data: bytes) -> tuple[str, str, str, int]:
     """(text, encoding, reason, damaged places). The first rule that holds decides.
 
-    A byte order mark; escape runs; valid UTF-8; Japanese script; lines of different encodings
-    (some lines valid UTF-8 beyond ASCII, others not); the named or a Western encoding.
+    A byte order mark; escape runs; valid UTF-8; Japanese script; nodes or lines of different
+    encodings; the named or a Western encoding.
     """
     for mark, encoding in MARKS:
         if data.startswith(mark):
             text, damaged = _marked_damage(data, encoding)
             return text, encoding, "mark", damaged
     if any(e in data for e in ESCAPES):
-        text, damaged = _marked_damage(data, "iso2022_jp_ext")
-        return text, "iso2022_jp", "escape", damaged
+        text = "".join(r.text for r in shifted(data))
+        return text, "iso2022_jp", "escape", text.count("�")
     try:
         return data.decode("utf-8"), "utf-8", "valid", 0
     except UnicodeDecodeError:
         named = _named(data)
     if found := _japanese(data, named):
         return found
-    lines = data.splitlines(keepends=True)
-    kinds = [_utf8_kind(x) for x in lines]
-    if True in kinds and False in kinds:
-        parts = [x.decode("utf-8") if k is not False else (_japanese(x, named) or _western(x, named))[0] for x, k in zip(lines, kinds)]
-        return "".join(parts), "mixed", "lines", 0
+    found = regions(data)
+    if len({r.encoding for r in found}) > 1:
+        return "".join(r.text for r in found), "mixed", "lines", 0
     return _western(data, named)
 
 
-def _utf8_kind(line: bytes) -> bool | None:
-    """None for ASCII, else whether the line is valid UTF-8."""
-    if line.isascii():
-        return None
-    try:
-        line.decode("utf-8")
-        return True
-    except UnicodeDecodeError:
-        return False
-
-
 def decoded(files: DataFrame, key: str, content: str) -> DataFrame:
     """Rows (key, text, encoding, reason, damaged); null content gives nulls."""
 
