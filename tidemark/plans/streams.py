@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import history as H
 from tidemark.plans.registry import query
 from tidemark.streaming import events as S
+from tidemark.streaming import slices as L
 
 
 def _local(rows: DataFrame, column: str) -> DataFrame:
@@ -54,3 +55,25 @@ def z02_stream_upsert(spark, folder):
         return rows if before is None else H.latest(before.unionByName(rows), ["user_id"], "ts", "event_id")
 
     return _local(S.drained(S.event_stream(spark, folder).select("user_id", "ts", "event_id"), "append", merge), "ts")
+
+
+# Clicks are done at once; errors fail once and views of even users twice. What fails is tried again an hour later, at most three times, once the watermark (an hour behind the last event) has passed.
+_FAILS = "CASE WHEN event_type = 'error' THEN 1 WHEN event_type = 'view' AND user_id % 2 = 0 THEN 5 ELSE 0 END"
+
+
+@query(f"""WITH e AS (SELECT user_id % 16 AS lane, event_id AS work, date_trunc('millisecond', ts) AS ts, {_FAILS} AS fails FROM events), m AS (SELECT max(date_trunc('millisecond', ts)) - INTERVAL 1 HOUR AS mark FROM events),
+    t AS (SELECT lane, work, fails, k AS attempt FROM (SELECT *, unnest(range(1, least(fails + 1, 3) + 1)) AS k FROM e), m WHERE k = 1 OR ts + to_hours((k - 1)::INT) <= mark)
+    SELECT lane, work, attempt::INT AS attempt, CASE WHEN attempt > fails THEN 'done' WHEN attempt < 3 THEN 'failed' ELSE 'dropped' END AS outcome FROM t""")
+def z13_resumed_slices(spark, folder):
+    """The events as work of 16 lanes, in slices."""
+    fails = F.when(F.col("event_type") == "error", 1).when((F.col("event_type") == "view") & (F.col("user_id") % 2 == 0), 5).otherwise(0)
+    stream = S.event_stream(spark, folder).select((F.col("user_id") % 16).alias("lane"), F.col("event_id").alias("work"), F.date_trunc("millisecond", "ts").alias("ts"), fails.alias("fails"))
+    return L.worked(stream, "lane").select("lane", "work", "attempt", "outcome")
+
+
+@query("""SELECT event_type AS grp, count(*) AS n, sum(round(value * 100)::BIGINT)::BIGINT AS amount FROM (SELECT user_id, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value FROM events GROUP BY 1) WHERE event_type <> 'signup' GROUP BY 1""")
+def v02_running_totals(spark, folder):
+    """Users by their last event, as the events come in; a signup deletes."""
+    group = F.when(F.col("event_type") != "signup", F.col("event_type"))
+    stream = S.event_stream(spark, folder).select("user_id", F.col("event_id").alias("seq"), group.alias("grp"), F.round(F.col("value") * 100).cast("long").alias("amount"))
+    return L.totals(spark, L.deltas(stream, "user_id"))
