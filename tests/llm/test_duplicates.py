@@ -97,6 +97,36 @@ def test_near_groups_of_the_query(spark, folder):
     assert got == brute.groups(real(spark, folder), 2, 80)
 
 
+def test_chance_neighbours_make_no_clusters(spark, monkeypatch):
+    """Texts of a small vocabulary share keys by chance; only what is near becomes a cluster, and every link is found."""
+    rng = random.Random(11)
+    words = [f"t{k}" for k in range(14)]
+    docs = [(k, " ".join(rng.choices(words, k=20))) for k in range(600)]
+    docs += [(1000 + k, f"{t} {rng.choice(words)}") for k, t in docs[:40]]
+    seen = {}
+
+    def watched(edges, f=near_dedup.components):
+        out = f(edges)
+        seen.setdefault("sizes", sorted((r["count"] for r in out.groupBy("component").count().collect()), reverse=True))
+        return out
+
+    monkeypatch.setattr(near_dedup, "components", watched)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(table(spark, docs), shingle=1, percent=80).collect()}
+    assert got == brute.groups(docs, 1, 80)
+    far = [(k, " ".join(rng.choices([f"u{k}" for k in range(110)], k=24))) for k in range(3000)] + [(5000 + k, " ".join(f"x{k}y{j}" for j in range(30))) for k in range(50) for _ in (0, 1)]
+    seen.clear()
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(table(spark, far), shingle=1, percent=80).collect()}
+    assert got == {i: c for i, (_, c) in brute.groups(dict(far).items(), 1, 80).items()} and sum(seen["sizes"]) < 300
+
+
+@pytest.mark.parametrize("compared", [0, 4, 512])
+def test_keys_of_many_classes(spark, monkeypatch, compared):
+    monkeypatch.setattr(near_dedup, "COMPARED", compared)
+    docs = planted()
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(table(spark, docs), shingle=2, percent=80).collect()}
+    assert got == brute.groups(docs, 2, 80)
+
+
 def thue_morse(n):
     """A word and its complement whose polynomial hashes modulo 2**64 agree."""
     word = "".join("ab"[k.bit_count() & 1] for k in range(n))
@@ -171,6 +201,25 @@ def test_exact_groups_of_the_query(spark, folder):
     assert oracle.compare(spark, queries.op6_exact_dedup, queries.oracle_sql()["op6_exact_dedup"], folder) == ""
 
 
+def test_one_of_each_text_with_any_columns(spark):
+    shape = "doc_id long, text string, __id string, __sha string, key int, doc string, n long, text_sha256 string"
+    rows = [(1, "A b", "p", "q", 1, "d", 2, "s"), (2, "a B", "r", "y", 1, "d", 2, "s"), (2, "a B", "r", "y", 1, "d", 2, "s"), (None, "c", "u", "v", 1, "d", 2, "s"), (3, None, "w", "z", 1, "d", 2, "s"), (4, "", "w2", "z2", 1, "d", 2, "s")]
+    for own, want in ((rows, {"y", "v", "z2"}), (rows[:2] + rows[3:], {"y", "v", "z2"}), (rows[1:3], {"y"}), ([], set())):
+        df = spark.createDataFrame(own, shape)
+        out = exact_dedup.one_of_each_text(df)
+        assert out.columns == df.columns and sorted(r["__sha"] for r in out.collect()) == sorted(want)
+
+
+def test_hot_chunks_and_recipes_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(shared, "ONE_TASK", 0)
+    docs = [(k, "the same text" if k % 3 else f"text {k % 5} " * 400) for k in range(300)]
+    got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_duplicates(table(spark, docs)).collect()}
+    own = {}
+    for k, t in docs:
+        own.setdefault(t, []).append(k)
+    assert got == {k: (max(own[t]), len(own[t]), k == max(own[t])) for k, t in docs}
+
+
 def test_chunks_meet_again_after_an_insertion(spark):
     found = exact_dedup.recipes(table(spark, [(1, LONG), (2, "new words first " + LONG)])).collect()
     one, two = ({c.digest for c in r.chunks} for r in found)

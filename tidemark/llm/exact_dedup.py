@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import bytescan as B
-from tidemark.llm.shared import cut
+from tidemark.llm.shared import cut, spread_join
 
 U64 = np.uint64
 #: Bytes that decide a cut, and the mean size of a chunk as a power of two.
@@ -60,10 +60,9 @@ def recipes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
     return cut(rows.withColumn("row", F.monotonically_increasing_id()))
 
 
-def chunk_dictionary(found: DataFrame) -> DataFrame:
-    """Rows (hash, digests) of all distinct chunks; a chunk's identifier is its hash and its place in digests."""
-    chunks = found.select(F.explode("chunks").alias("c")).select("c.hash", "c.digest").distinct()
-    return chunks.groupBy("hash").agg(F.sort_array(F.collect_set("digest")).alias("digests"))
+def chunk_dictionary(used: DataFrame) -> DataFrame:
+    """Rows (hash, digests, n) of all chunks, n of them with the hash; a chunk's identifier is its hash and its place in digests."""
+    return used.groupBy("hash").agg(F.sort_array(F.collect_set("digest")).alias("digests"), F.count("*").alias("n"))
 
 
 def exact_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -72,18 +71,20 @@ def exact_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: st
     Null counts as empty and empty texts are equal. Of equal texts the row with the largest
     id stays, a missing id below all others and, among rows of one id, the last read; so
     each group keeps one row. An empty table gives no rows; other columns are ignored.
-    Very long texts only add chunks to their own recipe.
+    Very long texts only add chunks to their own recipe. A chunk or a recipe that many rows
+    hold is spread over tasks.
     """
     found = recipes(docs, id_column, text_column)
-    named = chunk_dictionary(found)
     used = found.select("row", F.explode("chunks").alias("c")).select("row", "c.place", "c.hash", "c.digest")
-    used = used.join(named, "hash").select("row", F.struct("place", "hash", F.array_position("digests", F.col("digest")).alias("nth")).alias("chunk"))
+    chunks = found.agg(F.sum(F.size("chunks"))).first()[0] or 0
+    used = spread_join(used, chunk_dictionary(used), "hash", "row", chunks)
+    used = used.select("row", F.struct("place", "hash", F.array_position("digests", F.col("digest")).alias("nth")).alias("chunk"))
     lists = used.groupBy("row").agg(F.sort_array(F.collect_list("chunk")).alias("recipe"))
     lists = lists.select("row", F.size("recipe").alias("n_chunks"), F.sha2(F.to_json("recipe"), 256).alias("recipe"))
     rows = found.select("row", "id", "text_sha256").join(lists, "row", "left").fillna({"n_chunks": 0, "recipe": ""})
     rows = cut(rows)
-    groups = cut(rows.groupBy("recipe").agg(F.max(F.struct("id", "row")).alias("stays"), F.count("*").alias("group_size")))
-    out = rows.join(groups, "recipe")
+    groups = cut(rows.groupBy("recipe").agg(F.max(F.struct("id", "row")).alias("stays"), F.count("*").alias("group_size"), F.count("*").alias("n")))
+    out = spread_join(rows, groups, "recipe", "row", rows.count())
     return out.select(
         F.col("id").alias(id_column), F.col("stays.id").alias("keep_id"), "group_size",
         (F.col("row") == F.col("stays.row")).alias("kept"), "text_sha256", "n_chunks",
@@ -91,17 +92,17 @@ def exact_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: st
 
 
 def one_of_each_text(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The rows of docs that exact_duplicates keeps, with all their columns.
+    """The rows of docs that exact_duplicates keeps, with all their columns, whatever these are called.
 
-    Where ids repeat, a row is known by id and text, and equal rows are kept once.
+    Where ids repeat, a row is known by id and text, and equal rows are kept once. Null
+    counts as an empty text, a null id is an id like any other, and no rows give none.
     """
-    found = cut(exact_duplicates(docs, id_column, text_column).select(F.col(id_column).alias("__id"), "kept", "text_sha256"))
-    kept = found.where("kept")
-    rows, ids = found.agg(F.count("*"), F.count_distinct(F.coalesce(F.col("__id").cast("string"), F.lit("")))).first()
+    found = cut(exact_duplicates(docs, id_column, text_column).select(F.col(id_column).alias("id"), "kept", "text_sha256"))
+    kept = found.where("kept").select(F.struct("id").alias("key"), "text_sha256")
+    rows, ids = found.agg(F.count("*"), F.count_distinct(F.coalesce(F.col("id").cast("string"), F.lit("")))).first()
+    packed = docs.select(F.struct(*docs.columns).alias("doc"), F.struct(F.col(id_column).cast("long").alias("id")).alias("key"), F.col(text_column).alias("text"))
     if rows == ids:
-        return docs.join(kept.select("__id"), docs[id_column].eqNullSafe(F.col("__id")), "left_semi")
-    low = F.translate(F.coalesce(F.col(text_column), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    named = docs.withColumn("__sha", F.sha2(low, 256))
-    own = kept.select("__id", F.col("text_sha256").alias("__kept_sha"))
-    same = named[id_column].eqNullSafe(own["__id"]) & (named["__sha"] == own["__kept_sha"])
-    return named.join(own, same, "left_semi").dropDuplicates([id_column, "__sha"]).select(*docs.columns)
+        return packed.drop("text").join(kept.select("key"), "key", "left_semi").select("doc.*")
+    low = F.translate(F.coalesce(F.col("text"), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    named = packed.select("doc", "key", F.sha2(low, 256).alias("text_sha256"))
+    return named.join(kept, ["key", "text_sha256"], "left_semi").dropDuplicates(["key", "text_sha256"]).select("doc.*")

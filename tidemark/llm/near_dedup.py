@@ -5,9 +5,10 @@ that differ in fewer than ``CHUNKS * (ERRORS + 1)`` symbols agree, by pigeonhole
 chunk but for at most ``ERRORS`` symbols; so each chunk is indexed once for every symbol
 that may be wrong, without that symbol, and all pairs under the threshold meet in a key.
 
-Texts with equal shingle sets are one class from the start. Classes that share keys form
-clusters, found by connected components over one edge from each class to the least class
-of the key, never over pairs. Whole shingle sets are then compared exactly, star first: the
+Texts with equal shingle sets are one class from the start. Classes that share a key are
+candidates if their signatures differ in few enough symbols; candidates form clusters,
+found by connected components over a spanning forest of each key. In a key of very many
+classes, which are mostly copies, all are tied to the least, whatever their distance. Whole shingle sets are then compared exactly, star first: the
 members of a cluster meet in blocks of bounded size, its least class in each of them. Only
 members that no chain of links in their block ties to it are left, and these alone meet
 every other block of their cluster. So every link that may join two groups is seen, and a
@@ -34,6 +35,10 @@ SYMBOLS = CHUNKS * WIDTH
 REACH = CHUNKS * (ERRORS + 1) - 1
 #: Classes and shingles of a block, about, and columns of an incidence matrix.
 BLOCK, BLOCK_SHINGLES, SLAB = 256, 1 << 20, 4096
+#: Candidates differ in at most this many symbols. A pair at a similarity of 0.8 differs in more with a chance of 4e-7.
+NEAR = 29
+#: Classes of a key up to which signatures are compared.
+COMPARED = 512
 
 _RNG = np.random.default_rng(5)
 _FLIP = _RNG.integers(1, 2**63, SYMBOLS, dtype=U64)
@@ -88,6 +93,38 @@ def _index(batches):
         yield pa.RecordBatch.from_pydict({"rep": pa.array(np.repeat(np.asarray(batch["rep"]), SYMBOLS)), "key": flat})
 
 
+def _low_bytes(batches):
+    """The low byte of each symbol of a signature."""
+    for batch in batches:
+        s = np.frombuffer(b"".join(batch["signature"].to_pylist()), np.uint16).astype(np.uint8).reshape(-1, SYMBOLS)
+        yield pa.RecordBatch.from_pydict({"rep": batch["rep"], "low": B.binary([x.tobytes() for x in s])})
+
+
+def _close(reps: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the pairs of a key's classes whose signatures differ in at most NEAR symbols."""
+    label = _labels(reps, np.stack([(s != row).sum(1) <= NEAR for row in s]))
+    tied = reps != label
+    return reps[tied], label[tied]
+
+
+def _candidates(table: pa.Table) -> pa.Table:
+    """Edges (a, b) between the classes of each key of a group that may be near."""
+    key, rep = table["key"].to_numpy(), table["rep"].to_numpy()
+    s = np.frombuffer(b"".join(table["low"].to_pylist()), np.uint8).reshape(-1, SYMBOLS)
+    order = np.lexsort((rep, key))
+    key, rep, s = key[order], rep[order], s[order]
+    start = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    size = np.diff(np.append(start, len(key)))
+    two = start[size == 2]  # most keys
+    two = two[(s[two] != s[two + 1]).sum(1) <= NEAR]
+    found = [(rep[two + 1], rep[two])]
+    for at, n in zip(start[size > 2], size[size > 2]):
+        found.append(_close(rep[at : at + n], s[at : at + n]))
+    a, b = (np.concatenate(x) for x in zip(*found))
+    both = np.unique(np.stack([a, b]), axis=1)
+    return pa.table({"a": pa.array(both[0], pa.int64()), "b": pa.array(both[1], pa.int64())})
+
+
 def _sets(shingle: int, names: list[str]):
     """Shingle sets in place of texts; the named columns stay."""
 
@@ -207,8 +244,14 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     classes = cut(named.groupBy("high", "low", "n").agg(F.min("id").alias("rep"), F.max("signature").alias("signature")))
 
     index = classes.select("rep", "signature").mapInArrow(_index, "rep long, key long")
-    met = cut(index.groupBy("key").agg(F.min("rep").alias("least"), F.count("*").alias("n")).where("n > 1"))
-    edges = spread_join(index, met, "key", "rep", SYMBOLS * classes.count()).select(F.col("rep").alias("a"), F.col("least").alias("b"))
+    met = index.groupBy("key").agg(F.min("rep").alias("least"), F.count("*").alias("n")).where("n > 1")
+    met = cut(met.withColumn("many", F.col("n") > COMPARED))
+    shared = cut(spread_join(index, met, "key", "rep", SYMBOLS * classes.count()))
+    # The low bytes of the symbols differ in no more places than the symbols do.
+    low = classes.mapInArrow(_low_bytes, "rep long, low binary")
+    few = shared.where("not many").join(low, "rep").withColumn("bin", F.pmod(F.xxhash64("key"), F.lit(16 * parts)))
+    edges = few.select("bin", "key", "rep", "low").groupBy("bin").applyInArrow(_candidates, "a long, b long")
+    edges = edges.union(shared.where("many").select(F.col("rep").alias("a"), F.col("least").alias("b")))
     links = _links(rows, classes, components(edges).withColumnsRenamed({"node": "rep", "component": "cluster"}), shingle, percent)
 
     joined = components(links).withColumnsRenamed({"node": "rep"})
