@@ -145,6 +145,55 @@ def test_wrapped_licences(spark):
     assert got == [(1, 1, "BSD"), (3, 0, "MIT"), (4, 1, "MIT")]
 
 
+def test_licences_without_cuts(spark):
+    """Long lines, any wrap, several notices in a line, short names and reserved marks."""
+    mit = "Released under the MIT License."
+    permission = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software"
+    cases = [
+        (1, "x " * 3000 + mit + " y" * 3000, {(0, "MIT", True)}), (2, "\n".join(mit.split()), {(0, "MIT", True)}), (3, "one\n" + re.sub(r"(\S+ \S+ \S+) ", r"\1\r\n", permission), {(1, "MIT", True)}),
+        (4, mit + " Licensed under the Apache License, Version 2.0.", {(0, "MIT", True), (0, "Apache-2.0", True)}), (5, "Content is available under CC BY-SA 4.0.", {(0, "CC-BY-SA", False)}),
+        (6, "BSD-3-Clause", {(0, "BSD", False)}), (7, "GPL version 3 or any later version", {(0, "GPL", False)}), (8, "Licensed under the EUPL, version 1.2. " + "word " * 200, {(0, "unknown", False)}),
+        (9, "\x01Released under the\nMIT License.", {(0, "MIT", True)}), (10, mit + "\nplain\n" + mit, {(0, "MIT", True), (2, "MIT", True)}), (11, "\n".join(f"line {k} {mit}" for k in range(40)), {(k, "MIT", True) for k in range(40)}),
+        (12, "\n\n" + mit, {(1, "MIT", True)}), (13, ("filler words " * 30 + mit + " ") * 3, {(0, "MIT", True)}),
+    ]
+    docs = table(spark, [(i, t, "en") for i, t, _ in cases] + [(100 + k, f"An ordinary line of words {k}.", "en") for k in range(30)])
+    got = {}
+    for r in license_scan.scan(docs, license_scan.fit(docs)).collect():
+        got.setdefault(r.doc_id, []).append((r.paragraph, r.family, r.confirmed))
+    assert {i: set(x) for i, x in got.items()} == {i: want for i, _, want in cases} and all(len(x) == len(set(x)) for x in got.values())
+
+
+def test_wraps_against_plain_search(spark):
+    """Notices at random places, wrapped at random, are found where their first word stands."""
+    import random
+
+    rng, cases, want = random.Random(5), [], set()
+    fill = "river town walks seldom green over every small bridge".split()
+    notices = [(f, t) for f, own in license_scan.NOTICES.items() for t in own]
+    for i in range(120):
+        family, notice = rng.choice(notices)
+        words = rng.choices(fill, k=rng.randrange(60))
+        at = len(words)
+        words += notice.split() + rng.choices(fill, k=rng.randrange(60))
+        line, lines, place = [], [], 0
+        for k, w in enumerate(words):
+            if k == at:
+                place = len(lines)
+            line.append(w)
+            if rng.random() < 0.25:
+                lines, line = [*lines, " ".join(line)], []
+        text = rng.choice(("\n", "\r\n", "\r")).join([*lines, " ".join(line)] if line else lines)
+        cases.append((i, text, "en"))
+        want.add((i, place, family))
+    docs = table(spark, cases)
+    got = {(r.doc_id, r.paragraph, r.family) for r in license_scan.scan(docs, license_scan.fit(docs)).collect() if r.confirmed}
+    assert len(want - got) <= 2 and len(got - want) <= 4, (want - got, got - want)
+
+
+def test_notices_fit_into_windows():
+    assert all(len(re.findall(license_scan.WORD, t.lower())) <= license_scan.STEP + 1 for own in license_scan.NOTICES.values() for t in own)
+
+
 def bigrams(text):
     words = re.findall(license_scan.WORD, text.lower())
     return {*zip(words, words[1:])}

@@ -1,7 +1,7 @@
 """Licence scans by a trained paragraph classifier, in DataFrame operations only.
 
-A paragraph (a line of text, or a few that a notice is wrapped over) is read as its
-distinct word uni- and bigrams, each hashed to a weight of a multinomial logistic
+A paragraph (a line of text, a window of one that is long, or the words of a notice that is
+wrapped over any number of lines) is read as its distinct word uni- and bigrams, each hashed to a weight of a multinomial logistic
 regression over licence families, one class for licences that are none of these, and one
 for all else. The regression is trained on rule-made variants of the families' notices, on
 notices with names of other licences, on plain sentences that use the same words, and on a
@@ -10,9 +10,10 @@ passes a bound, and confirmed where one of its notices is mostly contained. Wher
 does, but the classes of licences together pass a bound of their own, the licence is
 ``unknown``. Both bounds are calibrated on rows that training leaves out.
 
-The classifier has a first stage: a paragraph without any anchor word is of no licence.
-This loses no confirmed paragraph: in every notice, more bigrams hold an anchor than one
-may miss.
+Anchor words order the work: each line that holds one is judged, whole or in windows if it
+is long, and the words around it are searched for every notice, however its lines are
+wrapped, up to an empty line. In every notice, more bigrams hold an anchor than one may
+miss, so no notice is lost; of licences that are only named, those without an anchor are.
 """
 
 from __future__ import annotations
@@ -30,8 +31,10 @@ OTHER, UNKNOWN = "none", "unknown"
 BUCKETS = 2048
 #: Share of a notice's bigrams that a confirmed paragraph holds.
 CONFIRM = 0.8
-#: Lines over which a hard-wrapped notice may run.
-WRAP = 4
+#: Words of a window, from one to the next, and on either side of it that a notice may also use. No notice is longer than STEP + 1.
+WINDOW, STEP, AROUND = 48, 24, 24
+#: Words between those of a notice that it may have, as a share of its length.
+SLACK = 0.25
 #: Paragraphs of the table that stand for the class of all else, at most.
 SAMPLE_ROWS = 400
 
@@ -56,6 +59,12 @@ NOTICES = {
     "ISC": ["Released under the ISC License.", "Licensed under the ISC license."],
     "Unlicense": ["This is free and unencumbered software released into the public domain.", "Released under the Unlicense license."],
 }
+# Short forms that name a family and are too short or free to compare with.
+SHORT = {
+    "BSD": ["BSD-3-Clause", "BSD-2-Clause", "License: BSD-3-Clause", "BSD license"], "Apache-2.0": ["Apache-2.0", "License: Apache-2.0", "Apache License 2.0", "Apache 2.0 license"],
+    "GPL": ["GPL version 3 or any later version", "GPL version 2 or any later version", "GPL-3.0-or-later", "GPL v3 or later", "GNU GPL version 3", "License: GPL-3.0-only"],
+    "MPL-2.0": ["MPL-2.0", "License: MPL-2.0"], "CC-BY-SA": ["CC BY-SA 4.0", "Content is available under CC BY-SA 4.0.", "Text is under CC BY-SA 3.0"], "CC-BY": ["CC BY 4.0", "Content is available under CC BY 4.0.", "Text is under CC BY 3.0"], "CC-BY-NC": ["CC BY-NC 4.0", "Text is under CC BY-NC 3.0"],
+}
 # Names of other public licences, and frames that name a licence.
 OTHER_NAMES = ["Zlib", "zlib/libpng", "EUPL", "European Union Public", "Artistic 2.0", "Eclipse Public", "Boost Software", "PostgreSQL", "SIL Open Font", "WTFPL", "Python Software Foundation", "Academic Free",
                "CeCILL", "Microsoft Public", "Open Software", "NCSA", "Ruby", "X11", "Vim", "Perl", "Sleepycat", "Beerware", "Community Data", "Open Database", "IBM Public", "PHP 3.01", "W3C", "OpenSSL", "Unicode", "Intel"]
@@ -74,7 +83,7 @@ PLAIN = [
 ]
 #: In every notice more than 1 - CONFIRM of the bigrams hold one of these.
 ANCHORS = ["licens", "licenc", "permission", "granted", "software", "redistribut", "modification", "mozilla", "waived", "copyright", "unencumbered", "cc0", "distributed under",
-           "gplv", "gnu ", "spdx", "creative commons", "eupl", "public domain"]
+           "gpl", "gnu ", "spdx", "creative commons", "eupl", "public domain", "bsd", "apache", "cc by", "cc-by", "by-sa", "by-nc", "mpl-2", "zlib", "mit or ", "or mit"]
 WORD = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
 
 
@@ -104,6 +113,8 @@ def training_rows() -> list[dict]:
             words = text.split()
             forms = [f.format(text) for f in frames] + [" ".join(words[:k] + words[k + 1 :]) for k in range(len(words)) if label == 0 or words[k].strip(".,;").lower() in _FILL]
             rows += [{"text": t, "label": float(label), "part": k % 5 == 4} for k, t in enumerate(forms)]
+        for text in SHORT.get(family, []):
+            rows += [{"text": f.format(text), "label": float(label), "part": k == 3} for k, f in enumerate(frames)]
     other = [frame.format(name) for name in OTHER_NAMES for frame in FRAMES]
     return rows + [{"text": t, "label": float(len(FAMILIES) - 1), "part": k // len(FRAMES) % 5 == 4} for k, t in enumerate(other)]
 
@@ -160,37 +171,82 @@ def anchored(low: Column) -> Column:
     return functools.reduce(Column.__or__, [F.contains(low, F.lit(a)) for a in ANCHORS])
 
 
-def _held(text: Column) -> Column:
-    """For each notice, the share of its bigrams that the text holds."""
-    words = [re.findall(WORD, t.lower()) for f in NOTICES.values() for t in f]
-    own = F.from_json(F.lit(json.dumps([sorted({f"{a} {b}" for a, b in zip(w, w[1:])}) for w in words])), "array<array<string>>")
-    return F.transform(own, lambda n: F.size(F.array_intersect(n, text)) / F.size(n))
+#: Stands before a line that begins a new block; texts that hold it lose it, as it is no part of a word.
+_START = "\x01"
+
+
+def _placed(lines: Column, first: Column) -> Column:
+    """The words of lines, each with the place of its line; first is that of the first line."""
+    return F.flatten(F.transform(lines, lambda x, i: F.transform(words_of(x), lambda w: F.struct(w.alias("w"), (first + i).alias("at")))))
+
+
+def _text(tokens: Column) -> Column:
+    return F.array_join(F.transform(tokens, lambda t: t["w"]), " ")
+
+
+def _spans(tokens: Column) -> Column:
+    """The notices among tokens: where each stands, as (paragraph, end, line), at the closest stretch that holds enough of its bigrams."""
+    words = [re.findall(WORD, t.lower()) for own in NOTICES.values() for t in own]
+    grams = [[f"{a} {b}" for a, b in zip(w, w[1:])] for w in words]
+    notices = F.from_json(F.lit(json.dumps([{"own": sorted(set(g)), "least": CONFIRM * len(set(g)), "span": -int(-len(g) * (1 + SLACK) // 1)} for g in grams])), "array<struct<own:array<string>,least:double,span:int>>")
+    pairs = F.transform(F.sequence(F.lit(1), F.size(tokens) - 1), lambda i: F.concat_ws(" ", F.element_at(tokens, i)["w"], F.element_at(tokens, i + 1)["w"]))
+    pairs = F.when(F.size(tokens) > 1, pairs).otherwise(F.array().cast("array<string>"))
 
+    def held(notice: Column, some: Column) -> Column:
+        return F.size(F.array_intersect(notice["own"], some))
 
-def paragraphs(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """Rows (id, paragraph, line, n): the lines that hold an anchor, with their place, and 2 to WRAP lines joined that hold a notice which fewer of them do not.
+    def closest(notice: Column, pairs: Column) -> Column:
+        """The last place that the most bigrams of the notice follow, so that it begins with one of them."""
+        at = F.transform(F.sequence(F.lit(1), F.size(pairs)), lambda i: F.struct(held(notice, F.slice(pairs, i, notice["span"])).alias("n"), i.alias("i")))
+        return F.array_max(at)
 
-    Joined lines stand in one block, without an empty line between, and one of them holds an
-    anchor; paragraph is the first. Texts are in lower case.
+    def placed(notice: Column, pairs: Column) -> Column:
+        best = closest(notice, pairs)
+        held_at = F.transform(F.slice(pairs, best["i"], notice["span"]), lambda g, k: F.when(F.array_contains(notice["own"], g), k))
+        size = F.array_max(held_at) + 2  # words up to the last that it holds
+        return F.when(best["n"] >= notice["least"], F.struct(
+            F.element_at(tokens, best["i"])["at"].alias("paragraph"), F.element_at(tokens, best["i"] + size - 1)["at"].alias("end"),
+            _text(F.slice(tokens, best["i"], size)).alias("line"), F.lit(False).alias("own")))
+
+    def found(pairs: Column) -> Column:
+        some = F.filter(notices, lambda n: held(n, pairs) >= n["least"])
+        return F.filter(F.transform(some, lambda n: placed(n, pairs)), lambda x: x.isNotNull())
+
+    return F.flatten(F.transform(F.array(pairs), found))
+
+
+def candidates(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """Rows (row, id, paragraph, end, line, own) to judge: lines with an anchor, in windows if they are long, and the notices that stand in or around them.
+
+    Lines are numbered without empty ones. row numbers the rows of docs; own is false for notices.
     """
-    rows = _once(docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")), "text", F.lower("text"), drop="text").where(anchored(F.col("text")))
-    # An empty line leaves a mark before the next, so that the places of lines stay those of the text's own.
-    marked = F.regexp_replace("text", "(?:\r\n|\r(?!\n)|\n){2,}", "\n\x01")
-    rows = _once(rows.select("id", marked.alias("text")), "lines", F.split("text", "[\r\n]+"), drop="text")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_column).alias("id"), F.col(text_column).alias("text"))
+    rows = _once(rows, "text", F.lower("text"), drop="text").where(anchored(F.col("text")))
+    marked = F.regexp_replace(F.translate("text", _START, " "), "(?:\r\n|\r(?!\n)|\n){2,}", f"\n{_START}")
+    rows = _once(rows.select("row", "id", marked.alias("text")), "lines", F.split("text", "[\r\n]+"), drop="text")
+    begins = lambda x: F.startswith(x, F.lit(_START))
+    blank = lambda x: F.trim(x, F.lit(f" \t\x0b\x0c{_START}")) == ""
     hits = F.filter(F.transform("lines", lambda x, i: F.when(anchored(x), i)), lambda i: i.isNotNull())
-    rows = _once(rows, "hits", hits).where("size(hits) > 0")
-    starts = F.array_distinct(F.flatten(F.transform("hits", lambda i: F.sequence(F.greatest(i - (WRAP - 1), F.lit(0)), i))))
-    near = F.transform(starts, lambda i: F.struct(i.alias("paragraph"), F.slice(F.col("lines"), i + 1, WRAP).alias("near"), (F.array_min(F.filter("hits", lambda h: h >= i)) - i + 1).alias("least")))
-    rows = rows.select("id", F.explode(near).alias("w")).select("id", "w.*").withColumn("n", F.explode(F.sequence("least", F.size("near"))))
-    later = F.slice("near", F.lit(2), F.col("n") - 1)
-    rows = rows.where(~F.exists(later, lambda x: F.startswith(x, F.lit("\x01")) | (F.trim(x) == "")))
-    part = lambda at, less: F.array_join(F.slice("near", F.lit(at), F.col("n") - less), " ")
-    rows = rows.select("id", "paragraph", "n", part(1, 0).alias("line"), part(1, 1).alias("head"), part(2, 1).alias("rest"))
-    rows = _once(rows, "line_held", _held(bigrams_of(words_of(F.col("line"))))).where((F.col("n") == 1) | F.exists("line_held", lambda x: x >= CONFIRM))
-    for name in ("head", "rest"):
-        rows = _once(rows, f"{name}_held", _held(bigrams_of(words_of(F.col(name)))))
-    new = F.zip_with(F.zip_with("head_held", "rest_held", lambda a, b: F.greatest(a, b) < CONFIRM), "line_held", lambda a, b: a & (b >= CONFIRM))
-    return rows.where((F.col("n") == 1) | F.exists(new, lambda x: x)).select("id", "paragraph", "line", "n")
+    rows = rows.select("row", "id", "lines", F.explode(hits).alias("hit"))
+    near = rows.select(
+        "row", "id", "hit", F.element_at("lines", F.col("hit") + 1).alias("line"),
+        F.reverse(F.slice("lines", F.greatest(F.col("hit") - AROUND, F.lit(0)) + 1, F.least(F.col("hit"), F.lit(AROUND)))).alias("up"), F.slice("lines", F.col("hit") + 2, AROUND).alias("down"))
+    first = F.array_position(F.transform("up", lambda x: begins(x) | blank(x)), True).cast("int")
+    up = F.when(begins(F.col("line")), F.slice("up", 1, 0)).when(first == 0, F.col("up")).otherwise(F.slice("up", F.lit(1), first - F.when(blank(F.element_at("up", F.greatest(first, F.lit(1)))), 1).otherwise(0)))
+    last = F.array_position(F.transform("down", lambda x: begins(x) | blank(x)), True).cast("int")
+    down = F.when(last == 0, F.col("down")).otherwise(F.slice("down", F.lit(1), F.greatest(last - 1, F.lit(0))))
+    near = near.select("row", "id", "hit", F.array("line").alias("line"), F.reverse(up).alias("up"), down.alias("down"))
+    before, own, after = _placed(F.col("up"), F.col("hit") - F.size("up")), _placed(F.col("line"), F.col("hit")), _placed(F.col("down"), F.col("hit") + 1)
+    near = near.select("row", "id", "hit", F.slice(before, F.greatest(F.size(before) - AROUND, F.lit(0)) + 1, AROUND).alias("before"), own.alias("words"), F.slice(after, 1, AROUND).alias("after"))
+    near = near.where("size(words) > 0").select("row", "id", "hit", "words", F.concat("before", "words", "after").alias("joined"), F.size("before").alias("shift"))
+    starts = F.sequence(F.lit(0), F.greatest(F.ceil((F.size("words") - WINDOW) / STEP).cast("int"), F.lit(0)))
+    near = near.withColumn("k", F.explode(starts)).select(
+        "row", "id", "hit", (F.size("words") <= WINDOW).alias("whole"), F.slice("words", F.col("k") * STEP + 1, WINDOW).alias("words"),
+        F.slice("joined", F.greatest(F.col("k") * STEP + F.col("shift") - AROUND, F.lit(0)) + 1, WINDOW + 2 * AROUND).alias("joined"))
+    near = near.withColumn("line", _text(F.col("words"))).where(F.col("whole") | anchored(F.concat("line", F.lit(" "))))
+    near = _once(near.select("row", "id", "hit", "line", "joined"), "spans", _spans(F.col("joined")), drop="joined")
+    mine = F.struct(F.col("hit").alias("paragraph"), F.col("hit").alias("end"), F.col("line"), F.lit(True).alias("own"))
+    return near.select("row", "id", F.explode(F.concat(F.array(mine), "spans")).alias("c")).select("row", "id", "c.*")
 
 
 def fit(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", sample_rows: int = SAMPLE_ROWS) -> Scanner:
@@ -219,12 +275,23 @@ def fit(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", s
 
 
 def scan(docs: DataFrame, scanner: Scanner, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Rows (id, paragraph, family, probability, containment, confirmed), one for each paragraph of a licence.
-
-    The family is ``unknown``, with the probability of any licence, where it is none of those listed. Null and empty texts have no paragraphs; null and repeated ids are carried; ties of
-    probability go to the first family listed; a long paragraph is read whole; an empty
-    table gives no rows; other columns are ignored. Nothing is shuffled. A notice that runs
-    over up to WRAP lines of one block has a row at its first line if it is confirmed.
+    """Rows (id, paragraph, family, probability, containment, confirmed): for each line where a notice begins, its families; else what the line itself reads as.
+
+    The family is ``unknown``, with the probability of any licence, where it is none of those
+    listed. A line has a row for each family of which a notice begins in it, however long it is
+    and however the notice is wrapped, but for notices inside others of their family; a line without one, and not inside one, has its likeliest
+    unconfirmed family, if any. Null and empty texts have no lines; null and repeated ids are
+    carried and repeated rows each judged; ties of probability go to the first family listed;
+    an empty table gives no rows; other columns are ignored. Only what was found is shuffled,
+    by document.
     """
-    found = scanner.judge(paragraphs(docs, id_column, text_column), "line").where((F.col("family") != OTHER) & ((F.col("n") == 1) | F.col("confirmed")))
-    return found.select(F.col("id").alias(id_column), "paragraph", "family", "probability", "containment", "confirmed")
+    found = scanner.judge(candidates(docs, id_column, text_column), "line").where((F.col("family") != OTHER) & (F.col("own") | F.col("confirmed")))
+    best = F.max(F.struct("containment", "probability", "end"))
+    found = found.groupBy("row", "id", "paragraph", "family", "confirmed").agg(best.alias("b"))
+    rows = found.groupBy("row", "id").agg(F.collect_list(F.struct("paragraph", "family", "confirmed", "b.end", "b.probability", "b.containment")).alias("all"))
+    sure = F.filter("all", lambda x: x["confirmed"] & ~F.exists(F.col("all"), lambda y: y["confirmed"] & (y["family"] == x["family"]) & (y["paragraph"] < x["paragraph"]) & (y["end"] >= x["end"])))
+    outside = F.filter("all", lambda x: ~x["confirmed"] & ~F.exists(F.col("sure"), lambda y: (y["paragraph"] <= x["paragraph"]) & (x["paragraph"] <= y["end"])))
+    rows = rows.withColumn("sure", sure).select("id", "sure", outside.alias("rest"))
+    likeliest = F.filter("rest", lambda x: ~F.exists(F.col("rest"), lambda y: (y["paragraph"] == x["paragraph"]) & ((y["probability"] > x["probability"]) | (y["probability"] == x["probability"]) & (y["family"] < x["family"]))))
+    rows = rows.select("id", F.explode(F.concat("sure", likeliest)).alias("x"))
+    return rows.select(F.col("id").alias(id_column), "x.paragraph", "x.family", "x.probability", "x.containment", "x.confirmed")
