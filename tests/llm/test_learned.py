@@ -246,6 +246,13 @@ def test_main_text_on_edges(spark):
     assert len(got) == len(rows) and html_text.main_texts(df.limit(0)).count() == 0
 
 
+def test_parts_of_class_names_take_no_text_of_articles(spark):
+    ten = "one two three four five six seven eight nine ten"
+    pages = [f"<article><p>Start.</p><div class='share-price'>{ten}</div></article>", f"<div class='post notice-board'>{ten}</div>", f"<article><p>Start.</p><div class='share'>{ten}</div></article>", f"<div class='site-header'>{ten}</div><div class='post'>Start.</div>"]
+    df = spark.createDataFrame([(k, f"http://h{k}.org", x) for k, x in enumerate(pages)], "page_id long, url string, html string")
+    assert [r.text for r in sorted(html_text.main_texts(df).collect())] == [f"Start. {ten}", ten, "Start.", "Start."]
+
+
 def test_repeated_stretches_go_where_the_structure_is_silent(spark):
     chrome = "home news about contact search the whole site map"
     pages = [(k, f"http://h.org/{k}", f"<div>{chrome}</div><div>{' '.join(f'own{k}x{j}' for j in range(12))}</div>") for k in range(5)]

@@ -67,12 +67,14 @@ def _standing(name: str, attributes: str, inside: int) -> int:
     """What an element makes of its content: one of CHROME to ARTICLE; inside is where it stands."""
     if name in _CHROME or name == "header" and inside < MAIN:
         return CHROME
-    words: set[str] = set()
+    words: set[str] = set()  # whole names of classes and ids, and their parts
+    parts: set[str] = set()
     for m in _ATTRIBUTE.finditer(attributes) if attributes else ():
         key = (m[1] or m[5]).lower()
         value = (m[2] or m[3] or m[4] or "").lower()
         if key in ("class", "id"):
-            words.update(_SPLIT.split(value))
+            words.update(value.split())
+            parts.update(_SPLIT.split(value))
         elif key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and _HIDDEN.search(value):
             return CHROME
         elif key == "role":
@@ -85,7 +87,10 @@ def _standing(name: str, attributes: str, inside: int) -> int:
         return CHROME if words & _COMMENTS else max(inside, ARTICLE)
     if name == "main":
         return max(inside, MAIN)
-    if words & _WORDS and name not in ("html", "body") or inside < MAIN and words & _OUTER and name not in ("html", "body"):
+    # Inside a marked part only whole names tell of chrome, as in <div class="share-price">; outside of one, parts do, unless the element is named as a body.
+    if inside < MAIN and not words & _BODY:
+        words = words | parts
+    if name not in ("html", "body") and (words & _WORDS or inside < MAIN and words & _OUTER):
         return CHROME
     return max(inside, WEAK) if words & _BODY and name not in ("html", "body") else inside
 
