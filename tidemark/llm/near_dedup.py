@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import bytescan as B
-from tidemark.llm.shared import components, cut, partitions, spread_join
+from tidemark.llm.shared import components, cut, partitions, spread_join, written
 
 U64 = np.uint64
 CHUNKS, WIDTH, ERRORS = 10, 6, 1
@@ -269,14 +269,14 @@ def _links(rows: DataFrame, classes: DataFrame, clusters: DataFrame, shingle: in
     clusters = cut(spread_join(clusters.withColumnRenamed("n", "size"), sized, "cluster", "rep", clusters.count()))
     clusters = clusters.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
 
-    def sets(members: DataFrame, columns: dict[str, str]) -> DataFrame:
-        texts = rows.join(members, rows["id"] == members["rep"]).select("rep", "cluster", *columns, "text")
-        shape = ", ".join(f"{name} {kind}" for name, kind in ({"rep": "long", "cluster": "long"} | columns).items())
-        return texts.mapInArrow(_sets(shingle, ["rep", "cluster", *columns]), f"{shape}, shingles binary")
+    # Texts are dealt once, and what is compared later reads the members' sets only.
+    texts = rows.join(clusters, rows["id"] == clusters["rep"]).select("rep", "cluster", "blocks", "block", "text")
+    shape = "rep long, cluster long, blocks int, block int, shingles binary"
+    members = written(texts.mapInArrow(_sets(shingle, ["rep", "cluster", "blocks", "block"]), shape), "sets")
 
     # The least class of a cluster goes to each of its blocks, any other class to its own.
     at = F.when(F.col("rep") == F.col("cluster"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
-    dealt = sets(clusters, {"blocks": "int", "block": "int"}).withColumn("block", F.explode(at))
+    dealt = members.withColumn("block", F.explode(at))
     small = F.col("blocks") == 1
     dealt = dealt.select(
         F.when(small, F.pmod(F.xxhash64("cluster"), F.lit(16 * parts))).otherwise(F.col("cluster")).alias("bin"),
@@ -289,10 +289,11 @@ def _links(rows: DataFrame, classes: DataFrame, clusters: DataFrame, shingle: in
         return links
     lots = left.groupBy("cluster").agg(_blocks().alias("lots"))
     left = left.join(lots, "cluster").withColumn("lot", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("lots")).cast("int"))
-    own = left.select("rep", "cluster", F.lit(0).alias("side"), F.array("lot").alias("lots"), F.sequence(F.lit(0), F.col("blocks") - 1).alias("at"))
-    other = clusters.where("blocks > 1").join(lots, "cluster").select("rep", "cluster", F.lit(1).alias("side"), F.sequence(F.lit(0), F.col("lots") - 1).alias("lots"), F.array("block").alias("at"))
-    kinds = {"side": "int", "lots": "array<int>", "at": "array<int>"}
-    dealt = sets(own.unionByName(other), kinds).withColumn("lot", F.explode("lots")).withColumn("at", F.explode("at"))
+    large = members.where("blocks > 1")
+    own = left.join(large.select("rep", "shingles"), "rep")
+    own = own.select("rep", "cluster", F.lit(0).alias("side"), F.array("lot").alias("lots"), F.sequence(F.lit(0), F.col("blocks") - 1).alias("at"), "shingles")
+    other = large.join(lots, "cluster").select("rep", "cluster", F.lit(1).alias("side"), F.sequence(F.lit(0), F.col("lots") - 1).alias("lots"), F.array("block").alias("at"), "shingles")
+    dealt = own.unionByName(other).withColumn("lot", F.explode("lots")).withColumn("at", F.explode("at"))
     return links.union(dealt.select("cluster", "lot", "at", "rep", "side", "shingles").groupBy("cluster", "lot", "at").applyInArrow(_across(percent), "a long, b long"))
 
 
