@@ -34,16 +34,25 @@ def boilerplate(lines: DataFrame) -> DataFrame:
     return in_site.select("line").union(overall.select("line")).distinct()
 
 
+def grams(rows: DataFrame, kept: list[str], text: str, n: int) -> DataFrame:
+    """Rows (kept columns, phrase), one for each place of n adjacent words; a place's words are read where the words stand, so that no array is built for each."""
+    words = rows.select(*kept, X.words(text).alias("__w")).where(F.size("__w") >= n)
+    places = words.select(*kept, "__w", F.explode(F.sequence(F.lit(0), F.size("__w") - n)).alias("__i"))
+    return places.select(*kept, F.concat_ws(" ", *[F.get("__w", F.col("__i") + k) for k in range(n)]).alias("phrase"))
+
+
 def frequent(rows: DataFrame, page: str, site: str, text: str, n: int, least: int) -> DataFrame:
     """Phrases (phrase, pages, sites, most) of n words that at least so many pages hold; most is of one site.
 
-    Most phrases are rare: they are counted by their hashes, and only the phrases of
-    frequent hashes are shuffled as text and counted again, so that hashes that collide do
-    not matter.
+    Most phrases are rare: places are counted by their hashes alone, which bounds a phrase's
+    pages from above, and only phrases of frequent hashes are shuffled as text and counted by
+    page, so that neither hashes that collide nor phrases that a page repeats matter.
     """
-    grams = rows.select(F.col(site).alias("site"), F.explode(F.array_distinct(X.ngrams(X.words(text), n))).alias("phrase")).withColumn("hash", F.xxhash64("phrase"))
-    common = cut(grams.groupBy("hash").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("hash"))
-    by_site = grams.join(common, "hash", "left_semi").groupBy("phrase", "site").agg(F.count("*").alias("c"))
+    own = rows.select(F.col(page).alias("page"), F.col(site).alias("site"), F.col(text).alias("text"))
+    places = grams(own, ["page", "site"], "text", n).withColumn("hash", F.xxhash64("phrase"))
+    common = cut(places.groupBy("hash").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("hash"))
+    pages = places.join(common, "hash", "left_semi").select("phrase", "site", "page").distinct()
+    by_site = pages.groupBy("phrase", "site").agg(F.count("*").alias("c"))
     return by_site.groupBy("phrase").agg(F.sum("c").alias("pages"), F.count("*").alias("sites"), F.max("c").alias("most")).where(F.col("pages") >= least)
 
 
