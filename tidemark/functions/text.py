@@ -88,3 +88,44 @@ def excerpt(text: Column, term: str, width: int = 240) -> Column:
     at = F.instr(F.lower(text), term.lower())
     start = F.greatest(F.lit(1), at - (width - len(term)) // 2)
     return F.substring(text, start, F.lit(width)) if isinstance(start, Column) else text
+
+
+# Lines that mailing services added to messages, and the lines of an archive's own header.
+PROMOTIONS = ["ONElist is THE place", "e-mails exchanged daily", "ONElist has nearly", r"Looking to expand your world\?", "Yahoo! Groups Links", "Your use of Yahoo! Groups is subject"]
+PAGE_HEADER = r"(?m)^\*\*(?:Alternate )?Page URL:\*\*[^\n]*\n"
+_PROMOTED = rf"(?im)^[^\n]*(?:{'|'.join(PROMOTIONS)})[^\n]*(?:\n|\z)"
+
+
+def search_view(text: Column | str, mail: Column) -> Column:
+    """A text without its archive header and link targets, headings as ``#``; in mails also without promotion lines. Null stays null.
+
+    Only the line that promotes goes, as it may follow a long quoted conversation directly.
+    """
+    out = F.regexp_replace(_col(text), PAGE_HEADER, "")
+    out = F.regexp_replace(F.regexp_replace(out, r"(?is)<h1>(.*?)</h1>", "# $1"), r"!?\[([^\]\n]*)\]\([^)\n]*\)", "$1")
+    return F.when(mail, F.regexp_replace(F.regexp_replace(out, r"(?i)<br\s*/?>", "\n"), _PROMOTED, "")).otherwise(out)
+
+
+def promotions(text: Column | str) -> Column:
+    """How many lines of a mail promote its service."""
+    return F.size(F.regexp_extract_all(F.regexp_replace(_col(text), r"(?i)<br\s*/?>", "\n"), F.lit(_PROMOTED), F.lit(0)))
+
+
+def pieces(text: Column | str, most: int) -> Column:
+    """A text in order, whole, as pieces of at most so many characters, each cut after the last space or line end of its second half, if there is one.
+
+    Null has none, and neither has an empty text. One pattern finds every cut.
+    """
+    half = most // 2
+    return F.coalesce(F.regexp_extract_all(_col(text), F.lit(rf"(?s).{{1,{most}}}\z|.{{{half},{most - 1}}}[ \n]|.{{{most}}}"), F.lit(0)), F.array().cast("array<string>"))
+
+
+def strict_json(text: Column | str) -> Column:
+    """A JSON value as a variant; null if it is malformed, repeats a key at any depth, or is followed by anything.
+
+    The parser refuses repeated keys but reads no further than one value. What follows the
+    value can close an array or an object, never both, so both must hold it whole.
+    """
+    c = _col(text)
+    inside, named = F.try_parse_json(F.concat(F.lit("["), c, F.lit("]"))), F.try_parse_json(F.concat(F.lit('{"value":'), c, F.lit("}")))
+    return F.when(named.isNotNull(), F.try_variant_get(inside, "$[0]", "variant"))

@@ -111,3 +111,25 @@ def parameters(url: Column | str) -> Column:
     entries = F.transform(pairs, lambda x: F.struct(F.url_decode(F.split_part(x, F.lit("="), F.lit(1))).alias("key"), F.url_decode(F.split_part(x, F.lit("="), F.lit(2))).alias("value")))
     keys = F.array_distinct(F.transform(entries, lambda e: e["key"]))
     return F.map_from_arrays(keys, F.transform(keys, lambda k: F.element_at(F.filter(entries, lambda e: e["key"] == k), -1)["value"]))
+
+
+def origin(url: Column | str) -> Column:
+    """Scheme, host and port as they are given; null where the address is not http."""
+    return F.nullif(F.lower(F.regexp_extract(_col(url), r"^(?i:https?)://[^/?#@]+", 0)), F.lit(""))
+
+
+def resolved(base: Column | str, link: Column) -> Column:
+    """The address that a link of a page names: absolute, of the host, a query of the page, or beside the page. Steps upward are not followed."""
+    at = F.replace(F.trim(link), F.lit("&amp;"), F.lit("&"))
+    beside = F.concat(origin(base), F.regexp_extract(path(base), "^(.*/)", 1), F.regexp_replace(at, r"^(\./)+", ""))
+    return (
+        F.when(at.rlike(r"^(?i)https?://"), at).when(F.startswith(at, F.lit("//")), F.concat(scheme(base), F.lit(":"), at))
+        .when(F.startswith(at, F.lit("/")), F.concat(origin(base), at)).when(F.startswith(at, F.lit("?")), F.concat(origin(base), path(base), at))
+        .when(at.rlike(r"^([A-Za-z][A-Za-z0-9+.-]*:|#|$|\.\./)"), None).otherwise(beside)
+    )
+
+
+def has_repeated_key(url: Column | str) -> Column:
+    """Whether a query names a parameter twice, so that its value is in doubt."""
+    keys = F.transform(F.filter(F.split(query(url), "&"), lambda x: x != ""), lambda x: F.split_part(x, F.lit("="), F.lit(1)))
+    return F.size(keys) > F.size(F.array_distinct(keys))
