@@ -24,9 +24,7 @@ _BM25 = f"""d AS (SELECT doc_id, {TOKENS} AS w FROM documents), s AS (SELECT cou
 
 def lexical_top(spark, folder, k: int) -> DataFrame:
     found = L.bm25(table(spark, folder, "documents"), table(spark, folder, "benchmark"), "doc_id", "text", "item_id", "text")
-    found = found.withColumn("score", F.round("score", 6))
-    rank = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id")).cast("bigint")
-    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+    return _best(found.withColumn("score", F.round("score", 6)), "score", k)
 
 
 @query(f"WITH {_BM25} SELECT item_id, doc_id, score, rank FROM r WHERE rank <= 10")
@@ -90,24 +88,29 @@ _LEGS = f"""{_BM25}, l AS (SELECT item_id, doc_id, rank FROM r WHERE rank <= 100
     u AS (SELECT item_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS score FROM (SELECT * FROM l UNION ALL SELECT * FROM o) GROUP BY 1, 2)"""
 
 
-def _overlap_top(spark, folder, k: int) -> DataFrame:
-    asked = table(spark, folder, "benchmark").select("item_id", F.explode(F.array_distinct(X.words("text"))).alias("term"))
-    held = table(spark, folder, "documents").select("doc_id", F.explode(F.array_distinct(X.words("text"))).alias("term"))
-    n = held.join(asked, "term").groupBy("item_id", "doc_id").agg(F.count("*").alias("n"))
-    return n.withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("n"), "doc_id")).cast("bigint")).where(F.col("rank") <= k)
+def _legs(spark, folder, k: int) -> list[DataFrame]:
+    """The k best by BM25 and by shared terms, both from one table of postings."""
+    asked = L.asked_terms(table(spark, folder, "benchmark"), "item_id", "text")
+    index = L.postings(table(spark, folder, "documents"), asked, "doc_id", "text")
+    return [_best(L.scored(index, asked, "doc_id", "item_id").withColumn("score", F.round("score", 6)), "score", k), _best(L.shared(index, asked, "doc_id", "item_id"), "n", k)]
+
+
+def _best(found: DataFrame, by: str, k: int) -> DataFrame:
+    rank = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc(by), "doc_id")).cast("bigint")
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 @query(f"WITH {_LEGS} SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM u QUALIFY rank <= 20")
 def q06_rank_fusion(spark, folder):
-    return R.rrf([lexical_top(spark, folder, 100), _overlap_top(spark, folder, 100)], "doc_id", ["item_id"]).where("rank <= 20")
+    return R.rrf(_legs(spark, folder, 100), "doc_id", ["item_id"]).where("rank <= 20")
 
 
 @query(f"""WITH {_LEGS}, h AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM u QUALIFY rank <= 20),
     t AS (SELECT item_id, doc_id, rank, 1 AS segment FROM l ANTI JOIN h USING (item_id, doc_id)), z AS (SELECT *, 0 AS segment FROM h UNION ALL SELECT * FROM t)
     SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY segment, rank, doc_id) AS rank FROM z""")
 def o06_head_and_tail(spark, folder):
-    lexical = lexical_top(spark, folder, 100)
-    head = R.rrf([lexical, _overlap_top(spark, folder, 100)], "doc_id", ["item_id"]).where("rank <= 20")
+    lexical, overlap = _legs(spark, folder, 100)
+    head = R.rrf([lexical, overlap], "doc_id", ["item_id"]).where("rank <= 20")
     return R.with_tail(head, lexical, "doc_id", ["item_id"])
 
 
@@ -138,7 +141,7 @@ def q20_recent_sites(spark, folder):
 
 @query(f"WITH {_LEGS} SELECT DISTINCT item_id, doc_id FROM (SELECT item_id, doc_id FROM l WHERE rank <= 10 UNION ALL SELECT item_id, doc_id FROM o WHERE rank <= 10)")
 def q23_pool(spark, folder):
-    legs = [x.where("rank <= 10").select("item_id", "doc_id") for x in (lexical_top(spark, folder, 100), _overlap_top(spark, folder, 100))]
+    legs = [x.where("rank <= 10").select("item_id", "doc_id") for x in _legs(spark, folder, 100)]
     return legs[0].union(legs[1]).distinct()
 
 
