@@ -37,5 +37,5 @@ def oracle_sql() -> dict[str, str]:
 
 def _load() -> None:
     """The modules register their plans as they are imported."""
-    for name in ("browse", "relational", "analysis", "search", "archive", "ledgers", "streams", "lookups", "services", "capture", "pages", "sources", "engine", "forums", "mail", "growth"):
+    for name in ("browse", "relational", "analysis", "search", "archive", "ledgers", "streams", "lookups", "services", "capture", "pages", "sources", "engine", "forums", "mail", "growth", "meaning"):
         importlib.import_module(f"tidemark.plans.{name}")
