@@ -2,6 +2,7 @@
 
 import collections
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -75,3 +76,14 @@ def test_totals_are_those_of_a_recount(spark, tmp_path):
             assert {r.grp: [r.n, r.amount] for r in L.totals(spark, folder).collect()} == dict(want)
     per_batch = spark.read.option("basePath", f"{folder}/deltas").parquet(f"{folder}/deltas").groupBy("batch").count().collect()
     assert len(per_batch) >= 4 and all(r["count"] <= 3 for r in per_batch)  # a batch tells its own totals only
+
+
+def test_gaps_are_read_once_a_slice_whatever_is_due(spark, tmp_path):
+    """Two thousand gaps of a lane with times of their own; a timer each would read all gaps two thousand times."""
+    at = str(tmp_path / "in")
+    spark.range(0, 2000, numPartitions=1).selectExpr("'l' AS lane", "id AS work", "timestamp_millis(1704067200000 + id * 1000) AS ts", "CAST(id % 3 AS int) AS fails").write.parquet(f"{at}/part0")
+    began = time.monotonic()
+    got = L.worked(stream(spark, WORK, at), "lane", "1 second", 3, "1 second").collect()
+    assert time.monotonic() - began < 60
+    want = [(w, a, "done" if a > w % 3 else "failed") for w in range(2000) for a in range(1, w % 3 + 2) if a == 1 or w + a - 1 <= 1998]
+    assert sorted((r.work, r.attempt, r.outcome) for r in got) == want
