@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.batches import slices
+
 # Token budget of a passage, tokens of overlap, most links and context of a page.
 BUDGET, OVERLAP, MOST_LINKS, CONTEXT = 480, 48, 3000, 600
 
@@ -43,7 +45,7 @@ def links(pages: DataFrame, key: str, url: str, source: str) -> DataFrame:
     names = [key, "place", "target", "anchor", "context"]
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, source):
             rows = [(k, n, *x) for k, u, s in zip(*(c.to_pylist() for c in batch.columns)) for n, x in enumerate(_page_links(u or "", s or ""))]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 5, (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()))], names)
 
@@ -133,7 +135,7 @@ def source_passages(rows: DataFrame, key: str, text: str, prefix: str = "", budg
     types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, text):
             pairs = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
             found = [(k, n, a, b, c, t[a:b]) for k, t in pairs for n, (a, b, c) in enumerate(spans(t or "", left, overlap))]
             if found:
