@@ -12,6 +12,7 @@ from tidemark.operators import lexical as L
 from tidemark.operators import vectors as V
 from tidemark.plans.registry import query
 from tidemark.sources.tables import table
+from tidemark.storage import cut
 
 TOKENS = "regexp_extract_all(lower(text), '[0-9a-z]+')"
 _BM25 = f"""d AS (SELECT doc_id, {TOKENS} AS w FROM documents), s AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM d),
@@ -23,8 +24,13 @@ _BM25 = f"""d AS (SELECT doc_id, {TOKENS} AS w FROM documents), s AS (SELECT cou
 
 
 def lexical_top(spark, folder, k: int) -> DataFrame:
-    found = L.bm25(table(spark, folder, "documents"), table(spark, folder, "benchmark"), "doc_id", "text", "item_id", "text")
-    return _best(found.withColumn("score", F.round("score", 6)), "score", k)
+    return _best(_found(spark, folder, k, False).withColumn("score", F.round("score", 6)).select("item_id", "doc_id", "score"), "score", k)
+
+
+def _found(spark, folder, k: int, counts: bool) -> DataFrame:
+    asked = L.asked_terms(table(spark, folder, "benchmark"), "item_id", "text")
+    index = L.postings(table(spark, folder, "documents"), asked, "doc_id", "text")
+    return L.candidates(index, asked, "doc_id", "item_id", k, counts)
 
 
 @query(f"WITH {_BM25} SELECT item_id, doc_id, score, rank FROM r WHERE rank <= 10")
@@ -89,10 +95,10 @@ _LEGS = f"""{_BM25}, l AS (SELECT item_id, doc_id, rank FROM r WHERE rank <= 100
 
 
 def _legs(spark, folder, k: int) -> list[DataFrame]:
-    """The k best by BM25 and by shared terms, both from one table of postings."""
-    asked = L.asked_terms(table(spark, folder, "benchmark"), "item_id", "text")
-    index = L.postings(table(spark, folder, "documents"), asked, "doc_id", "text")
-    return [_best(L.scored(index, asked, "doc_id", "item_id").withColumn("score", F.round("score", 6)), "score", k), _best(L.shared(index, asked, "doc_id", "item_id"), "n", k)]
+    """The k best by BM25 and by shared terms, both from one pass over one table of postings."""
+    found = cut(_found(spark, folder, k, True))
+    scored = found.select("item_id", "doc_id", F.round("score", 6).alias("score"))
+    return [_best(scored, "score", k), _best(found.select("item_id", "doc_id", "n"), "n", k)]
 
 
 def _best(found: DataFrame, by: str, k: int) -> DataFrame:
