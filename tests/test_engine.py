@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 from tidemark.operators import ann as N
+from tidemark.operators import phrases as P
 from tidemark.operators import requests as Q
 from tidemark.operators import vectors as V
 from tidemark.plans import engine
@@ -135,3 +136,10 @@ def test_limits_hold_exactly(spark):
     Q.compiled({"query": deep}, SCHEMA)
     with pytest.raises(Q.Refused):
         Q.compiled({"query": {"bool": {"must": [deep]}}}, SCHEMA)
+
+
+def test_phrases_are_shuffled_once(spark):
+    rows = [(k, f"s{k % 2}", "a b c d a b c") for k in range(4)] + [(3, "s1", "a b c"), (9, "s0", "x y"), (10, "s1", None)]
+    found = P.frequent(spark.createDataFrame(rows, "p long, s string, t string"), "p", "s", "t", 3, 4)
+    assert {tuple(r) for r in found.collect()} == {(x, 4, 2, 2) for x in ("a b c", "b c d", "c d a", "d a b")}
+    assert found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange ") == 1

@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as X
 from tidemark.operators import facets as A
-from tidemark.storage import cut
 
 # Fixed values of the phrase rules: sample and clip sizes, supports and shares.
 SAMPLE, PER_SITE, CLIP, KEPT = 100, 8, 12_000, 40
 COMMON, FEW_PAGES = 0.8, 8
+#: Characters of text whose phrases one task counts.
+TASK = 1 << 22
 
 
 def page_lines(rows: DataFrame, page: str, site: str, text: str) -> DataFrame:
@@ -44,14 +45,14 @@ def grams(rows: DataFrame, kept: list[str], text: str, n: int) -> DataFrame:
 def frequent(rows: DataFrame, page: str, site: str, text: str, n: int, least: int) -> DataFrame:
     """Phrases (phrase, pages, sites, most) of n words that at least so many pages hold; most is of one site.
 
-    Most phrases are rare: places are counted by their hashes alone, which bounds a phrase's
-    pages from above, and only phrases of frequent hashes are shuffled as text and counted by
-    page, so that neither hashes that collide nor phrases that a page repeats matter.
+    Places are dealt by phrase once, and every count is taken where they then are: a phrase's
+    pages by site, and its sites. Places of a page are counted once, also in several rows.
+    Tasks grow in number with the text, not in size; a phrase that most pages hold is in one.
     """
     own = rows.select(F.col(page).alias("page"), F.col(site).alias("site"), F.col(text).alias("text"))
-    places = grams(own, ["page", "site"], "text", n).withColumn("hash", F.xxhash64("phrase"))
-    common = cut(places.groupBy("hash").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("hash"))
-    pages = places.join(common, "hash", "left_semi").select("phrase", "site", "page").distinct()
+    size = own.agg(F.sum(F.length("text"))).first()[0] or 0
+    tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(-(-size // TASK), 1 << 15))
+    pages = grams(own, ["page", "site"], "text", n).repartition(tasks, "phrase").distinct()
     by_site = pages.groupBy("phrase", "site").agg(F.count("*").alias("c"))
     return by_site.groupBy("phrase").agg(F.sum("c").alias("pages"), F.count("*").alias("sites"), F.max("c").alias("most")).where(F.col("pages") >= least)
 
