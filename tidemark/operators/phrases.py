@@ -36,10 +36,15 @@ def boilerplate(lines: DataFrame) -> DataFrame:
 
 
 def grams(rows: DataFrame, kept: list[str], text: str, n: int) -> DataFrame:
-    """Rows (kept columns, phrase), one for each place of n adjacent words; a place's words are read where the words stand, so that no array is built for each."""
-    words = rows.select(*kept, X.words(text).alias("__w")).where(F.size("__w") >= n)
-    places = words.select(*kept, "__w", F.explode(F.sequence(F.lit(0), F.size("__w") - n)).alias("__i"))
-    return places.select(*kept, F.concat_ws(" ", *[F.get("__w", F.col("__i") + k) for k in range(n)]).alias("phrase"))
+    """Rows (kept columns, phrase), one for each place of n adjacent words."""
+    return _places(rows.select(*kept, X.words(text).alias("__w")), kept, "__w", n)
+
+
+def _places(rows: DataFrame, kept: list[str], words: str, n: int) -> DataFrame:
+    """The phrases of arrays of words; a place's words are read where the words stand, so that no array is built for each."""
+    # Fewer words have no places. A filter would be moved before a shuffle below, and the words be found twice.
+    places = rows.select(*kept, words, F.explode(F.when(F.size(words) >= n, F.sequence(F.lit(0), F.size(words) - n))).alias("__i"))
+    return places.select(*kept, F.concat_ws(" ", *[F.get(words, F.col("__i") + k) for k in range(n)]).alias("phrase"))
 
 
 def frequent(rows: DataFrame, page: str, site: str, text: str, n: int, least: int) -> DataFrame:
@@ -50,13 +55,33 @@ def frequent(rows: DataFrame, page: str, site: str, text: str, n: int, least: in
     Tasks grow in number with the text, not in size; a phrase that most pages hold is in one.
     """
     own = rows.select(F.col(page).alias("page"), F.col(site).alias("site"), F.col(text).alias("text"))
-    size = own.agg(F.sum(F.length("text"))).first()[0] or 0
-    tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(-(-size // TASK), 1 << 15))
-    pages = grams(own, ["page", "site"], "text", n).repartition(tasks, "phrase").distinct()
+    pages = grams(own, ["page", "site"], "text", n).repartition(_tasks(own, TASK)[0], "phrase").distinct()
     by_site = pages.groupBy("phrase", "site").agg(F.count("*").alias("c"))
     return by_site.groupBy("phrase").agg(F.sum("c").alias("pages"), F.count("*").alias("sites"), F.max("c").alias("most")).where(F.col("pages") >= least)
 
 
+def counted(rows: DataFrame, page: str, text: str, n: int, least: int) -> DataFrame:
+    """Phrases (phrase, pages) of n words that at least so many pages hold.
+
+    Words are dealt by page into slices, where places of a page are counted once, also in
+    several rows, and a phrase's pages are added up; a phrase has one row a slice in the
+    shuffle, however many pages hold it. Slices and tasks grow in number with the text, not in size.
+    """
+    own = rows.select(F.col(page).alias("page"), F.col(text).alias("text"))
+    slices, tasks = _tasks(own, 3 * TASK // 2, 4 * TASK)
+    # Words between spaces take less room in the shuffle than texts or arrays.
+    words = own.select("page", F.array_join(X.words("text"), " ").alias("words"), F.pmod(F.xxhash64("page"), F.lit(slices)).cast("int").alias("slice"))
+    dealt = words.repartitionById(slices, "slice").select("slice", "page", F.split("words", " ").alias("words"))
+    each = _places(dealt, ["slice", "page"], "words", n).distinct().groupBy("slice", "phrase").agg(F.count("*").alias("c"))
+    return each.repartition(tasks, "phrase").groupBy("phrase").agg(F.sum("c").alias("pages")).where(F.col("pages") >= least)
+
+
+def _tasks(rows: DataFrame, *sizes: int) -> list[int]:
+    """For each size, how many tasks of so many characters the texts fill, at least Spark's number of shuffle partitions."""
+    size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+    return [max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(-(-size // k), 1 << 15)) for k in sizes]
+
+
 def phrases(lines: DataFrame) -> DataFrame:
     """Distinct (page, phrase, words, bounded) of content-word uni-, bi- and trigrams inside a sentence.
 

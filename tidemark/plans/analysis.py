@@ -36,8 +36,7 @@ def c12_sentences(spark, folder):
 @query(f"""WITH t AS (SELECT doc_id, {TOKENS} AS w FROM documents), g AS (SELECT DISTINCT doc_id, w[i] || ' ' || w[i + 1] AS gram FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM t))
     SELECT gram, count(*) AS docs FROM g GROUP BY 1 HAVING count(*) >= 5""")
 def c13_bigrams(spark, folder):
-    grams = table(spark, folder, "documents").select("doc_id", F.explode(F.array_distinct(X.ngrams(X.words("text"), 2))).alias("gram"))
-    return grams.groupBy("gram").agg(F.count("*").alias("docs")).where("docs >= 5")
+    return P.counted(table(spark, folder, "documents"), "doc_id", "text", 2, 5).select(F.col("phrase").alias("gram"), F.col("pages").alias("docs"))
 
 
 @query(f"""WITH d AS (SELECT doc_id, source, list_distinct({TOKENS}) AS w FROM documents), q AS (SELECT item_id, list_distinct({TOKENS}) AS v FROM benchmark),
