@@ -107,8 +107,24 @@ def _close(reps: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return reps[tied], label[tied]
 
 
+def _stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each node of the edges that is not the least of its component, with that least node."""
+    nodes, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+    i, j = np.split(place, 2)
+    label = np.arange(len(nodes))
+    while True:
+        best, low = label.copy(), np.minimum(label[i], label[j])
+        for x in (i, j, label[i], label[j]):
+            np.minimum.at(best, x, low)
+        best = best[best]
+        if (best == label).all():
+            tied = label != np.arange(len(nodes))
+            return nodes[tied], nodes[label[tied]]
+        label = best
+
+
 def _candidates(table: pa.Table) -> pa.Table:
-    """Edges (a, b) between the classes of each key of a group that may be near."""
+    """Edges (a, b) that span what the keys of a group tie together: classes that may be near."""
     key, rep = table["key"].to_numpy(), table["rep"].to_numpy()
     s = np.frombuffer(b"".join(table["low"].to_pylist()), np.uint8).reshape(-1, SYMBOLS)
     order = np.lexsort((rep, key))
@@ -121,8 +137,8 @@ def _candidates(table: pa.Table) -> pa.Table:
     for at, n in zip(start[size > 2], size[size > 2]):
         found.append(_close(rep[at : at + n], s[at : at + n]))
     a, b = (np.concatenate(x) for x in zip(*found))
-    both = np.unique(np.stack([a, b]), axis=1)
-    return pa.table({"a": pa.array(both[0], pa.int64()), "b": pa.array(both[1], pa.int64())})
+    a, b = _stars(a, b)
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
 def _sets(shingle: int, names: list[str]):

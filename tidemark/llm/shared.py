@@ -50,24 +50,38 @@ def spread_join(rows: DataFrame, facts: DataFrame, key: str, spread: str, total:
     return left.join(right, [key, "__piece"]).drop("__piece")
 
 
+def _with_least(rows: DataFrame, total: int) -> DataFrame:
+    """Rows (a, b) with the least b of their a as ``m``.
+
+    Where a hub may have more than some 64 MB of rows the minima are cut: then both sides are
+    dealt for the join alone, and Spark splits a partition that a hub makes large.
+    """
+    least = rows.groupBy("a").agg(F.min("b").alias("m"))
+    return rows.join(cut(least) if total > 32 * ONE_TASK else least, "a")
+
+
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every node either has one edge to a lesser node or only edges from greater ones."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("b", F.lit(0), F.lit(1)))
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 0 and up + down > 1").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (a, b): rows (node, component), component the least node.
 
     Alternates the large-star and small-star steps, each a grouped minimum that is joined
-    back with hubs split over tasks, until nothing changes; raises if ROUNDS do not do.
+    back, until the edges are stars; raises if ROUNDS do not do. Each step is cut by itself:
+    a plan of both holds each of them several times, with as many jobs, and what the driver
+    keeps of plans, jobs and tasks takes its memory, however small the tables are.
     Nodes without an edge do not appear, and a null or a loop is no edge.
     """
     edges = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    state, total = None, edges.count()
-    for _ in range(ROUNDS):
-        both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
-        large = spread_join(both, least, "a", "b", 2 * total).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
-        small = spread_join(large, least, "a", "b", 2 * total).select(F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("e"))
-        edges = cut(small.select(F.col("e.b").alias("a"), F.col("e.m").alias("b")).where("a <> b").distinct())
-        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if now == state:
+    total = edges.count()  # no step makes more edges
+    for k in range(ROUNDS):
+        if k and _are_stars(edges):
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select("b", "b").distinct())
-        state, total = now, now[0]
+        both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        large = cut(_with_least(both, 2 * total).where("b > a").select(F.col("b").alias("a"), F.least("m", "a").alias("b")))
+        small = _with_least(large, total).select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
+        edges = cut(small.distinct())
     raise RuntimeError(f"components did not settle in {ROUNDS} rounds")
