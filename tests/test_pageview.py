@@ -1,6 +1,7 @@
 """The page view against plain walks of trees, scripts by construction, tables cell by cell, fragments by all pairs."""
 
 import random
+import time
 from html.parser import HTMLParser
 
 import pytest
@@ -218,6 +219,39 @@ def test_uncertain_scripts_stay():
         assert M.isolated(page) == (page, 0), page
 
 
+def plain_isolated(page, end):
+    parts, at, n = [], 0, 0
+    while opening := M._OPENING.search(page, at):
+        if not (closing := M._CLOSING.search(page, opening.end())):
+            break
+        stop = end(page, opening.end())
+        parts.append(page[at : opening.start()] + "<script></script>" if stop else page[at : closing.end()])
+        at, n = stop or closing.end(), n + bool(stop)
+    return "".join([*parts, page[at:]]), n
+
+
+def test_long_scripts_are_followed_to_their_end(spark):
+    held, filler = "<script>write('</script>');", "a = b / 2 / c; // it's\n"
+    long = held + filler * 9000 + "</script>"
+    assert len(long) > 3 * M.SCRIPT_REACH and M.isolated(long, None) == ("<script></script>", 1) and M.isolated(long) == (long, 0)
+    page = "<p>a</p>" + long + "<p>b</p>" + held + "</script><p>c</p>"
+    df = spark.createDataFrame([(1, page), (2, held + filler * 9000), (3, None)], "id long, html string")
+    got = {r.id: (r.html, r.isolated) for r in V.isolated_pages(df, "id", "html").collect()}
+    assert got == {1: ("<p>a</p><script></script><p>b</p><script></script><p>c</p>", 2), 2: (held + filler * 9000, 0), 3: ("", 0)}
+    assert V.markdown(V.page_blocks(df.where("id = 1"), "id", "html"), "id").first().markdown == "a\n\nb\n\nc"
+    # Scripts inside of a script's comments, none of which ends: the work stays in proportion to the page.
+    began, many = time.process_time(), "<script>" + "f('</script>');/*<script>*/" * 20_000
+    assert M.isolated(many, None) == (many, 0) and time.process_time() - began < 20
+
+
+def test_scripts_that_share_their_text_end_alike():
+    rng = random.Random(9)
+    pieces = ["'</script>'", '"</script>"', "/*<script>*/", "<script>", "</script>", ";", "a", "/", "=", "'", '"', "\\", "\n", ") ", "x" * 40, "'" + "y" * 50 + "';"]
+    for _ in range(4000):
+        page = "<script>'</script>';" + "".join(rng.choices(pieces, [6, 6, 6, 1, 1, 8, 4, 2, 2, 1, 1, 1, 2, 2, 4, 6], k=rng.randrange(2, 40)))
+        assert M.isolated(page, None) == plain_isolated(page, M.script_end)
+
+
 def test_pages_in_rows(spark):
     rows = [(1, "<h1>T</h1><ul><li>a<li>b<ul><li>c</ul></ul><blockquote>q<p>r</blockquote><pre>x\ny</pre><table><tr><th>k<th>v<tr><td colspan=2>a|b</table>z"), (None, "<p>n"), (3, None), (3, ""), (4, "<p>" + "w " * 50000)]
     df = spark.createDataFrame(rows, "id long, html string")
